@@ -174,3 +174,67 @@ def partition_id() -> int:
 
     context = TaskContext.get()
     return context.partitionId() if context else 0
+
+
+ROW_BITS = 33
+#: Most rows whose bitmap is sent to all tasks (64 MB); beyond it, rows are chosen by a join.
+MAX_BITMAP_ROWS = 1 << 29
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """A stable scan with a column rid that numbers the rows: partition << 33 | place in the partition."""
+    return docs.withColumn("rid", F.monotonically_increasing_id())
+
+
+def input_bytes(df: DataFrame) -> int:
+    """Size of the files or tables that df reads, as the optimizer knows it."""
+    todo, total = [df._jdf.queryExecution().optimizedPlan()], 0
+    while todo:
+        node = todo.pop()
+        children = node.children()
+        if children.size() == 0:
+            total += int(str(node.stats().sizeInBytes()))
+        todo += [children.apply(i) for i in range(children.size())]
+    return total
+
+
+def bitmaps(rows: DataFrame) -> dict[int, np.ndarray]:
+    """The rids in rows as one bitmap for each partition: a bit for every row, so a few MB for millions of rows."""
+
+    def pack(table: pa.Table) -> pa.Table:
+        rid = table.column("rid").to_numpy()
+        bits = np.zeros(int((rid & ((1 << ROW_BITS) - 1)).max()) + 1, bool)
+        bits[rid & ((1 << ROW_BITS) - 1)] = True
+        return pa.table({"part": pa.array([int(rid[0]) >> ROW_BITS], pa.int64()), "bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
+
+    packed = rows.select("rid", F.shiftright("rid", ROW_BITS).alias("part")).groupBy("part").applyInArrow(pack, "part long, bits binary")
+    return {r.part: np.frombuffer(bytes(r.bits), np.uint8) for r in packed.collect()}
+
+
+def chosen(batch: pa.RecordBatch, bits: dict[int, np.ndarray] | None) -> pa.RecordBatch:
+    """The rows of batch whose rid is in the bitmaps; all if there are none to look in."""
+    if bits is None or not batch.num_rows:
+        return batch
+    rid = batch.column("rid").to_numpy()
+    packed = bits.get(int(rid[0]) >> ROW_BITS)
+    if packed is None:
+        return batch.slice(0, 0)
+    at = rid & ((1 << ROW_BITS) - 1)
+    inside = at < len(packed) * 8
+    at = np.where(inside, at, 0)
+    return batch.filter(pa.array(inside & ((packed[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).astype(bool)))
+
+
+class Chooser:
+    """Restricts a numbered scan to the rids of a table: by bitmaps while they are small, else by a semi-join."""
+
+    def __init__(self, scan: DataFrame, rows: DataFrame, n_rows: int) -> None:
+        small = n_rows <= MAX_BITMAP_ROWS
+        self.df = scan if small else scan.join(rows.select("rid"), "rid", "left_semi")
+        self._bits = scan.sparkSession.sparkContext.broadcast(bitmaps(rows)) if small else None
+
+    def __getstate__(self) -> dict:
+        return {"_bits": self._bits}
+
+    def of(self, batch: pa.RecordBatch) -> pa.RecordBatch:
+        return chosen(batch, self._bits.value if self._bits else None)
