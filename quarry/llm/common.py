@@ -211,18 +211,16 @@ def bitmaps(rows: DataFrame) -> dict[int, np.ndarray]:
     return {r.part: np.frombuffer(bytes(r.bits), np.uint8) for r in packed.collect()}
 
 
-def chosen(batch: pa.RecordBatch, bits: dict[int, np.ndarray] | None) -> pa.RecordBatch:
-    """The rows of batch whose rid is in the bitmaps; all if there are none to look in."""
-    if bits is None or not batch.num_rows:
-        return batch
+def listed(batch: pa.RecordBatch, bits: dict[int, np.ndarray]) -> np.ndarray:
+    """Whether the rid of each row is in the bitmaps."""
     rid = batch.column("rid").to_numpy()
-    packed = bits.get(int(rid[0]) >> ROW_BITS)
+    packed = bits.get(int(rid[0]) >> ROW_BITS) if len(rid) else None
     if packed is None:
-        return batch.slice(0, 0)
+        return np.zeros(len(rid), bool)
     at = rid & ((1 << ROW_BITS) - 1)
     inside = at < len(packed) * 8
     at = np.where(inside, at, 0)
-    return batch.filter(pa.array(inside & ((packed[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).astype(bool)))
+    return inside & ((packed[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).astype(bool)
 
 
 class Chooser:
@@ -237,4 +235,19 @@ class Chooser:
         return {"_bits": self._bits}
 
     def of(self, batch: pa.RecordBatch) -> pa.RecordBatch:
-        return chosen(batch, self._bits.value if self._bits else None)
+        return batch.filter(pa.array(listed(batch, self._bits.value))) if self._bits else batch
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of a stable scan but those whose rid (by numbered()) is in gone."""
+    scan = numbered(docs)
+    if docs.count() > MAX_BITMAP_ROWS:
+        return scan.join(gone.select("rid"), "rid", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+    bits = docs.sparkSession.sparkContext.broadcast(bitmaps(gone))
+
+    def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(~listed(batch, bits.value))).select(docs_columns)
+
+    docs_columns = docs.columns
+    return scan.mapInArrow(rest, docs.schema)
