@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard, mixing, quality, sharding
+from . import decontaminate, jaccard, mixing, quality, sharding, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,10 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.spans(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.pages(warc.read(warc.write(_table(spark, sf_dir, "pages"))))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return quality.ledger(docs, quality.toxic_terms(docs, _table(spark, sf_dir, "labels")))
@@ -39,11 +43,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": op2_mixing,
     "op4_ngram_jaccard": op4_ngram_jaccard,
     "op5_decontaminate": op5_decontaminate,
+    "op9_warc": op9_warc,
     "op10_quality_rules": op10_quality_rules,
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_mixing": mixing.ORACLE_SQL,
     "op4_ngram_jaccard": jaccard.ORACLE_SQL,
     "op5_decontaminate": decontaminate.ORACLE_SQL,
+    "op9_warc": warc.ORACLE_SQL,
     "op10_quality_rules": quality.ORACLE_SQL,
 }
