@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard, mixing, quality, sharding, surrogates, warc
+from . import decontaminate, jaccard, mixing, quality, sharding, substrings, surrogates, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,10 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.spans(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.repeated_passages(_table(spark, sf_dir, "documents"))
+
+
 def op8_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return surrogates.replaced(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -47,6 +51,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": op2_mixing,
     "op4_ngram_jaccard": op4_ngram_jaccard,
     "op5_decontaminate": op5_decontaminate,
+    "op6_substrings": op6_substrings,
     "op8_surrogates": op8_surrogates,
     "op9_warc": op9_warc,
     "op10_quality_rules": op10_quality_rules,
@@ -55,6 +60,7 @@ ORACLE_SQL: dict[str, str] = {
     "op2_mixing": mixing.ORACLE_SQL,
     "op4_ngram_jaccard": jaccard.ORACLE_SQL,
     "op5_decontaminate": decontaminate.ORACLE_SQL,
+    "op6_substrings": substrings.ORACLE_SQL,
     "op9_warc": warc.ORACLE_SQL,
     "op10_quality_rules": quality.ORACLE_SQL,
 }
