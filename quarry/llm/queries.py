@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard, language_model, mixing, quality, sharding, substrings, surrogates, warc
+from . import decontaminate, jaccard, language_model, mixing, quality, sharding, substrings, surrogates, token_output, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +38,10 @@ def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.repeated_passages(_table(spark, sf_dir, "documents"))
 
 
+def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_output.written_blocks(_table(spark, sf_dir, "documents"))
+
+
 def op8_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return surrogates.replaced(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -58,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_ngram_jaccard": op4_ngram_jaccard,
     "op5_decontaminate": op5_decontaminate,
     "op6_substrings": op6_substrings,
+    "op7_token_output": op7_token_output,
     "op8_surrogates": op8_surrogates,
     "op9_warc": op9_warc,
     "op10_quality_rules": op10_quality_rules,
