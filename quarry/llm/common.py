@@ -181,9 +181,22 @@ ROW_BITS = 33
 MAX_BITMAP_ROWS = 1 << 29
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """A stable scan with a column rid that numbers the rows: partition << 33 | place in the partition."""
-    return docs.withColumn("rid", F.monotonically_increasing_id())
+def fresh(df: DataFrame, name: str) -> str:
+    """name, longer if df has a column of that name already (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def own(df: DataFrame) -> list[Column]:
+    """All columns of df, also those with dots in their names."""
+    return [F.col(f"`{c.replace('`', '``')}`") for c in df.columns]
+
+
+def numbered(docs: DataFrame, name: str = "rid") -> DataFrame:
+    """A stable scan with a column (by default rid) that numbers the rows: partition << 33 | place in the partition."""
+    return docs.withColumn(name, F.monotonically_increasing_id())
 
 
 def input_bytes(df: DataFrame) -> int:
@@ -211,9 +224,9 @@ def bitmaps(rows: DataFrame) -> dict[int, np.ndarray]:
     return {r.part: np.frombuffer(bytes(r.bits), np.uint8) for r in packed.collect()}
 
 
-def listed(batch: pa.RecordBatch, bits: dict[int, np.ndarray]) -> np.ndarray:
+def listed(batch: pa.RecordBatch, bits: dict[int, np.ndarray], name: str = "rid") -> np.ndarray:
     """Whether the rid of each row is in the bitmaps."""
-    rid = batch.column("rid").to_numpy()
+    rid = batch.column(name).to_numpy()
     packed = bits.get(int(rid[0]) >> ROW_BITS) if len(rid) else None
     if packed is None:
         return np.zeros(len(rid), bool)
@@ -240,14 +253,15 @@ class Chooser:
 
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """The rows of a stable scan but those whose rid (by numbered()) is in gone."""
-    scan = numbered(docs)
+    rid = fresh(docs, "rid")
+    scan, names = numbered(docs, rid), docs.columns
     if docs.count() > MAX_BITMAP_ROWS:
-        return scan.join(gone.select("rid"), "rid", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+        return scan.join(gone.select(F.col("rid").alias(rid)), rid, "left_anti").select(*own(docs))
     bits = docs.sparkSession.sparkContext.broadcast(bitmaps(gone))
 
     def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(~listed(batch, bits.value))).select(docs_columns)
+            kept = batch.filter(pa.array(~listed(batch, bits.value, rid)))
+            yield pa.RecordBatch.from_arrays(kept.columns[: len(names)], names)
 
-    docs_columns = docs.columns
     return scan.mapInArrow(rest, docs.schema)

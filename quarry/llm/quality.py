@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import own
+
 WS, TOKEN_GAP = r"[ \t\n\r\f]+", r"[^\p{L}\p{N}]+"
 SYMBOLS = "#*$%&<>{}[]~^="
 STOP_WORDS = "the of and to in is that it a de la le les des et que el los en y der die das und zu den von ein".split()
@@ -125,7 +127,8 @@ def ledger(docs: DataFrame, terms: list[str]) -> DataFrame:
 
 def accepted(docs: DataFrame, terms: list[str], policy: str) -> DataFrame:
     """The rows of docs that the policy keeps, with the columns of docs."""
-    return measured(docs, terms).withColumn("_bits", _bits()).where(F.col("_bits").bitwiseAND(F.lit(mask(policy))) == 0).select(*(F.col(f"`{c}`") for c in docs.columns))
+    row = docs.select(F.struct(*own(docs)).alias("row"), F.col("text"))  # apart, so that no name can clash
+    return measured(row, terms).withColumn("_bits", _bits()).where(F.col("_bits").bitwiseAND(F.lit(mask(policy))) == 0).select("row.*")
 
 
 def ablations(entries: DataFrame) -> DataFrame:

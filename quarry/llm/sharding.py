@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import input_bytes, mix, partition_id, stable
+from .common import fresh, input_bytes, mix, partition_id, stable
 
 SHARD_BYTES = 128 << 20
 MIN_SHARDS = 16
@@ -92,6 +92,7 @@ def shuffled(docs: DataFrame, shards: int | None = None, seed: int = SEED) -> Da
     """
     docs = stable(docs.drop("shard", "position"), "unsharded")
     shards = shards or max(MIN_SHARDS, -(-input_bytes(docs) // SHARD_BYTES))
+    order = fresh(docs, "_order")
     parts = docs.rdd.getNumPartitions()  # of the scan's plan; no rows are read by way of the RDD
     counted = {r.p: r.n for r in docs.select(F.spark_partition_id().alias("p")).groupBy("p").agg(F.count("*").alias("n")).collect()}
     sizes = np.array([counted.get(p, 0) for p in range(max(parts, 1))], np.int64)
@@ -108,12 +109,12 @@ def shuffled(docs: DataFrame, shards: int | None = None, seed: int = SEED) -> Da
             n = batch.num_rows
             if at + n > len(labels):
                 raise RuntimeError(f"partition {part} has more rows than were counted: its input is not stable")
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(labels[at : at + n]), pa.array(keys[at : at + n])], [*batch.schema.names, "shard", "_order"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(labels[at : at + n]), pa.array(keys[at : at + n])], [*batch.schema.names, "shard", order])
             at += n
         if at != sizes[part]:
             raise RuntimeError(f"partition {part} has {at} rows, {sizes[part]} were counted: its input is not stable")
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("shard", T.IntegerType()), T.StructField("_order", T.LongType())])
-    sent = docs.mapInArrow(permute, schema).repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "_order")
+    schema = T.StructType([*docs.schema.fields, T.StructField("shard", T.IntegerType()), T.StructField(order, T.LongType())])
+    sent = docs.mapInArrow(permute, schema).repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", order)
     # a partition is a shard, so the row's number in it is its position
-    return sent.withColumn("position", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))).drop("_order")
+    return sent.withColumn("position", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))).drop(order)

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import written
+from .common import own, written
 
 KEY = b"quarry surrogates 1"
 #: Exceptions (values with a tweak) sent to all tasks; more of them are joined instead.
@@ -297,7 +297,7 @@ def replaced(docs: DataFrame) -> DataFrame:
 
 def _joined(docs: DataFrame, exceptions: DataFrame) -> DataFrame:
     """The same for many exceptions: each document's own are brought to it by joins."""
-    keyed = docs.withColumn("_key", F.xxhash64(F.coalesce("text", F.lit(""))))
+    keyed = docs.select(F.struct(*own(docs)).alias("row"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("_key"))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -313,7 +313,7 @@ def _joined(docs: DataFrame, exceptions: DataFrame) -> DataFrame:
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             done = [_replace(t, {(o["type"], o["value"]): o["tweak"] for o in own or []}) for t, own in zip(batch.column("text").to_pylist(), batch.column("_own").to_pylist())]
-            columns = [batch.column(c) for c in names]
+            columns = list(batch.column("row").flatten())
             columns[at] = pa.array([t for t, _ in done], pa.string())
             yield pa.RecordBatch.from_arrays([*columns, pa.array([n for _, n in done], pa.int32())], [*names, "n_entities"])
 
