@@ -4,8 +4,9 @@ A file is cut into byte ranges, one task each. A task looks for the gzip magic i
 member only if its header decodes and its content begins as a WARC record, and then follows the chain of members. It
 owns the records of the members that start inside its range and reads the last of them past the range's end.
 
-Payloads may hold gzip data themselves. Where a chain that began in mid-file breaks before it had three members, its
-beginning was inside a payload: it is dropped and the search goes on one byte later.
+Payloads may hold gzip data themselves. Where a chain that began in mid-file breaks before it had three members, the
+bytes before it are searched for a member that holds its beginning (up to LOOK_BACK of them): if there is one, the chain
+was inside a payload; it is dropped and the search goes on one byte later.
 
 Defined results
 * Damaged members are skipped up to the next valid one. Zero bytes between members are allowed. Empty files and empty
@@ -31,6 +32,7 @@ from .common import new_path, partition_id, written
 SPLIT_BYTES = 8 << 20
 MAGIC = b"\x1f\x8b\x08"
 _READ = 1 << 20
+LOOK_BACK = 8 << 20
 RECORDS = "path string, offset long, type string, record_id string, target_uri string, headers map<string,string>, content binary"
 
 
@@ -175,11 +177,22 @@ def _range(path: str, start: int, end: int, size: int) -> Iterator[tuple[int, by
                 yield from chain
                 chain = []
         whole = place >= size or place >= end and file.member(place) is not None
-        if chain and (whole or trusted):
-            yield from chain
-            chain = []
-        at = place if place > at and not chain else at + 1
-        at = max(at, place) if whole else at
+        if chain and not trusted and not whole and _inside_member(path, at, size):
+            at += 1
+            continue
+        yield from chain
+        at = place if place > at else at + 1
+
+
+def _inside_member(path: str, at: int, size: int) -> bool:
+    """Whether a valid member begins before this place and ends after it; looked for only where a chain broke."""
+    file, place = _File(path, size), max(0, at - LOOK_BACK)
+    while 0 <= (place := file.find(place, at)):
+        found = file.member(place)
+        if found and found[1] > at:
+            return True
+        place = found[1] if found else place + 1
+    return False
 
 
 def read(files: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
