@@ -200,7 +200,7 @@ def numbered(docs: DataFrame, name: str = "rid") -> DataFrame:
 
 
 def input_bytes(df: DataFrame) -> int:
-    """Size of the files or tables that df reads, as the optimizer knows it."""
+    """Size of the files that a stable scan reads, as the optimizer knows it (of other plans it knows none)."""
     todo, total = [df._jdf.queryExecution().optimizedPlan()], 0
     while todo:
         node = todo.pop()

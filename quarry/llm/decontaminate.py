@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import input_bytes, tokenize
+from .common import input_bytes, stable, tokenize
 from .fm import FMIndex
 
 N = 8
@@ -111,6 +111,7 @@ class Shard:
 
 def _slices(benchmark: DataFrame, n: int) -> list[Phrases]:
     """The benchmark's phrases, on the driver in slices of a bounded size."""
+    benchmark = stable(benchmark.select("item_id", "text"), "benchmark")
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text IS NOT NULL")
     count = max(1, -(-input_bytes(benchmark) * 4 // SLICE_BYTES))
     for k in range(count):

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import input_bytes, partition_id, tokenize
+from .common import input_bytes, partition_id, stable, tokenize
 
 CLASSES, WIDTH, BUCKETS = 32, 32, 64
 VOCABULARY = CLASSES * WIDTH
@@ -40,6 +40,7 @@ _SHAPES = {"E": (VOCABULARY + 1, EMBEDDING), "Wx": (EMBEDDING, 3 * HIDDEN), "Wh"
 
 def vocabulary(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the most frequent words of all documents by rank, and the counts of all ids (words, then buckets)."""
+    docs = stable(docs.select("text"), "counted")
     parts = max(8, -(-input_bytes(docs) // COUNT_BYTES))
     known = VOCABULARY - BUCKETS
 

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import doc_key, grams, input_bytes, mix, tokenize, written
+from .common import doc_key, grams, input_bytes, mix, stable, tokenize, written
 from .fm import FMIndex
 
 L, K = 50, 20
@@ -271,6 +271,7 @@ def _search(table: pa.Table) -> pa.Table:
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
     """doc_id, word_start, word_end (exclusive) of the intervals of each document whose windows of L words other documents have."""
+    docs = stable(docs.select("doc_id", "text"), "passages")
     keyed = docs.select(doc_key().alias("key"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     parts = max(8, -(-input_bytes(docs) // ANCHOR_BYTES))
     shards = max(8, -(-input_bytes(docs) // SHARD_BYTES))
