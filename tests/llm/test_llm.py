@@ -352,7 +352,7 @@ def test_replaced(spark, tmp_path, odd, empty, monkeypatch):
     assert len(set(found.values())) == len(found) and not {v for _, v in found} & set(found.values())
     assert got["c40"].text is None and got["c41"].text == "" and got["c42"].text == "clean" and got["c42"].n_entities == 0
     name = got[f"c{len(rows) - 1}"].text.replace(".", "").split(" ")
-    assert name[1] == name[-1] and name[2] == name[5] and name[1] != "John"
+    assert name[1] == name[-1] and name[2] == name[6] and name[1] != "John"
     monkeypatch.setattr(surrogates, "MAX_EXCEPTIONS", -1)
     assert {r.copy: r.text for r in surrogates.replaced(docs).collect()} == {c: r.text for c, r in got.items()}
     assert surrogates.replaced(empty).count() == 0 and surrogates.replaced(odd[0]).count() == len(odd[1])
