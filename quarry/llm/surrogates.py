@@ -306,8 +306,8 @@ def _joined(docs: DataFrame, exceptions: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.string(), pa.string()))], ["_key", "type", "value"])
 
     wanted = keyed.select("_key", "text").mapInArrow(find, "_key long, type string, value string").distinct().join(exceptions, ["type", "value"])
-    own = wanted.groupBy("_key").agg(F.collect_list(F.struct("type", "value", "tweak")).alias("_own"))
-    both = keyed.join(own, "_key", "left")
+    mine = wanted.groupBy("_key").agg(F.collect_list(F.struct("type", "value", "tweak")).alias("_own"))
+    both = keyed.join(mine, "_key", "left")
     at, names = docs.columns.index("text"), docs.columns
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
