@@ -1,12 +1,15 @@
 """A gated recurrent language model: trained on every document by truncated backpropagation in numpy, then scores each document.
 
 Words (lower case) are the symbols. The most frequent ones of the whole corpus have ids by rank, all others share a few
-buckets by hash. The output is factored: ids of neighbouring ranks form classes, P(word) = P(class) P(word | class).
+buckets by hash. The number of ids grows with the square root of the corpus, the classes with the root of the ids. The
+output is factored: ids of neighbouring ranks form classes, P(word) = P(class) P(word | class). A word in a bucket also
+has P(word | bucket): its discounted count in the whole corpus, what is discounted is spread evenly over the hashes of
+words that the corpus doesn't have. All counts stay in tables; words meet them in an exchange by hash.
 
 Training: a task lays its documents end to end in lanes and goes through them in windows; the hidden state is carried
 from window to window and reset where a document begins, gradients end at a window. Tasks start from the same model and
 their results are averaged by words, in two rounds: the first words of every task, then all the others. Scoring
-carries the state through all windows of a document, so its log-likelihood is that of the complete text.
+carries the state through all windows of a document, and the log-likelihood is that of all words of the complete text.
 
 Defined results
 * Null, empty and word-less texts have no words, log-likelihood 0 and a null perplexity. Every row is scored by itself:
@@ -18,6 +21,8 @@ Defined results
 from __future__ import annotations
 
 import heapq
+import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,31 +30,66 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import input_bytes, partition_id, stable, tokenize
+from .common import ROW_BITS, input_bytes, partition_id, stable, tokenize, written
 
-CLASSES, WIDTH, BUCKETS = 32, 32, 64
-VOCABULARY = CLASSES * WIDTH
+MIN_CLASSES, BUCKETS = 32, 64
+#: Ids of the smallest model; there are as many classes as ids in a class.
+VOCABULARY = MIN_CLASSES**2
+#: Taken from the count of each word in a bucket, for words that the corpus doesn't have.
+DISCOUNT = 0.5
 HIDDEN, EMBEDDING = 16, 16
 LANES, WINDOW = 512, 16
 FIRST_ROUND_WORDS = 300_000
 COUNT_BYTES = 32 << 20
 RATES = (0.01, 0.004)
-_BOS = VOCABULARY
-_SHAPES = {"E": (VOCABULARY + 1, EMBEDDING), "Wx": (EMBEDDING, 3 * HIDDEN), "Wh": (HIDDEN, 3 * HIDDEN), "b": (3 * HIDDEN,), "Wc": (HIDDEN, CLASSES), "bc": (CLASSES,), "Wo": (CLASSES, HIDDEN, WIDTH), "bo": (CLASSES, WIDTH)}
+_SLICE = 1 << 14
 
 
-def vocabulary(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the most frequent words of all documents by rank, and the counts of all ids (words, then buckets)."""
+def classes_for(n_words: int) -> int:
+    """Classes of a model of a corpus of so many words: its ids are about the root of that."""
+    return max(MIN_CLASSES, math.ceil(n_words**0.25))
+
+
+def shapes(classes: int) -> dict[str, tuple[int, ...]]:
+    return {"E": (classes**2 + 1, EMBEDDING), "Wx": (EMBEDDING, 3 * HIDDEN), "Wh": (HIDDEN, 3 * HIDDEN), "b": (3 * HIDDEN,), "Wc": (HIDDEN, classes), "bc": (classes,), "Wo": (classes, HIDDEN, classes), "bo": (classes, classes)}
+
+
+def _size(classes: int) -> int:
+    return sum(math.prod(s) for s in shapes(classes).values())
+
+
+class Vocabulary:
+    """Hashes of the words with ids, by rank, and what the words in buckets need: their table of counts by part, and the sums of each bucket."""
+
+    def __init__(self, words: np.ndarray, classes: int, parts: int, n: np.ndarray, distinct: np.ndarray, counted: DataFrame | None) -> None:
+        self.words, self.classes, self.parts, self.n, self.distinct, self.counted = words, classes, parts, n, distinct, counted
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"counted": None}
+
+    def log_tails(self, hashes: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """log P(word | bucket) of words in buckets, which have these counts in the corpus."""
+        bucket = (hashes % np.uint64(BUCKETS)).astype(np.int64)
+        total, left = np.maximum(self.n, 1), np.where(self.n > 0, self.distinct * DISCOUNT, 1.0)
+        return np.log(np.where(n > 0, n - DISCOUNT, left[bucket] * (BUCKETS / 2.0**64)) / total[bucket])
+
+
+def _part(hashes: np.ndarray, parts: int) -> np.ndarray:
+    """The first of the sorted hashes of each part, and the end."""
+    return np.searchsorted(((hashes >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32), np.arange(parts + 1, dtype=np.uint64))
+
+
+def vocabulary(docs: DataFrame) -> tuple[Vocabulary, np.ndarray]:
+    """The vocabulary of all documents, and the counts of all ids (words, then buckets)."""
     docs = stable(docs.select("text"), "counted")
     parts = max(8, -(-input_bytes(docs) // COUNT_BYTES))
-    known = VOCABULARY - BUCKETS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hashes = np.concatenate([tokenize(batch.column("text").slice(at, 512).to_pylist()).hashes for at in range(0, batch.num_rows, 512)] or [np.zeros(0, np.uint64)])
             if len(hashes):
                 words, n = np.unique(hashes, return_counts=True)
-                ends = np.searchsorted(((words >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32), np.arange(parts + 1, dtype=np.uint64))
+                ends = _part(words, parts)
                 rows = [(p, words[ends[p] : ends[p + 1]].tobytes(), n[ends[p] : ends[p + 1]].astype(np.int64).tobytes()) for p in np.flatnonzero(np.diff(ends)).tolist()]
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary()))], ["part", "words", "n"])
 
@@ -58,27 +98,43 @@ def vocabulary(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         n = np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in table.column("n")])
         words, place = np.unique(words, return_inverse=True)
         n = np.bincount(place, weights=n).astype(np.int64)
-        top = np.lexsort((words, -n))[:known]
-        rest = np.setdiff1d(np.arange(len(words)), top)
-        buckets = np.bincount((words[rest] % np.uint64(BUCKETS)).astype(np.int64), weights=n[rest], minlength=BUCKETS).astype(np.int64)
-        return pa.table({"word": np.r_[words[top].view(np.int64), np.arange(BUCKETS)], "n": np.r_[n[top], buckets], "bucket": np.r_[np.zeros(len(top), bool), np.ones(BUCKETS, bool)]})
+        return pa.table({"part": table.column("part")[:1], "total": pa.array([int(n.sum())]), "words": pa.array([words.tobytes()], pa.binary()), "n": pa.array([n.tobytes()], pa.binary())})
 
-    counted = docs.select("text").mapInArrow(count, "part int, words binary, n binary").groupBy("part").applyInArrow(add, "word long, n long, bucket boolean")
-    top = counted.where("NOT bucket").orderBy(F.desc("n"), "word").limit(known).toPandas()
-    other = counted.where("bucket").groupBy("word").agg(F.sum("n").alias("n")).toPandas()
-    counts = np.zeros(VOCABULARY)
-    counts[: len(top)] = top["n"]
-    counts[known + other["word"].to_numpy(np.int64)] = other["n"]
-    return top["word"].to_numpy(np.int64).view(np.uint64), counts
+    made = docs.select("text").mapInArrow(count, "part int, words binary, n binary")
+    counted = written(made.groupBy("part").applyInArrow(add, "part int, total long, words binary, n binary"), "words")
+    classes = classes_for(counted.agg(F.sum("total")).first()[0] or 0)
+    known = classes**2 - BUCKETS
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for w, c in zip(batch.column("words"), batch.column("n")):
+                words, n = np.frombuffer(w.as_buffer(), np.uint64), np.frombuffer(c.as_buffer(), np.int64)
+                top, bucket = np.lexsort((words, -n))[:known], (words % np.uint64(BUCKETS)).astype(np.int64)
+                sums = np.bincount(bucket, weights=n, minlength=BUCKETS).astype(np.int64), np.bincount(bucket, minlength=BUCKETS)
+                columns = np.r_[words[top].view(np.int64), np.arange(BUCKETS)], np.r_[n[top], sums[0]], np.r_[np.zeros(len(top), np.int64), sums[1]], np.r_[np.zeros(len(top), bool), np.ones(BUCKETS, bool)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["word", "n", "distinct", "bucket"])
+
+    rows = counted.select("words", "n").mapInArrow(best, "word long, n long, distinct long, bucket boolean")
+    top = rows.where("NOT bucket").orderBy(F.desc("n"), "word").limit(known).toPandas()
+    other = rows.where("bucket").groupBy("word").agg(F.sum("n").alias("n"), F.sum("distinct").alias("distinct")).toPandas()
+    words, n = top["word"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
+    bucket, at = (words % np.uint64(BUCKETS)).astype(np.int64), other["word"].to_numpy(np.int64)
+    sums, distinct = (-np.bincount(bucket, weights=w, minlength=BUCKETS).astype(float) for w in (n, None))
+    sums[at] += other["n"].to_numpy(float)
+    distinct[at] += other["distinct"].to_numpy(float)
+    counts = np.zeros(classes**2)
+    counts[: len(n)] = n
+    counts[known:] = sums
+    return Vocabulary(words, classes, parts, sums, distinct, counted), counts
 
 
 class Ids:
-    def __init__(self, words: np.ndarray) -> None:
-        self.order = np.argsort(words)
-        self.sorted = words[self.order]
+    def __init__(self, vocabulary_: Vocabulary) -> None:
+        self.order, self.first = np.argsort(vocabulary_.words), vocabulary_.classes**2 - BUCKETS
+        self.sorted = vocabulary_.words[self.order]
 
     def of(self, hashes: np.ndarray) -> np.ndarray:
-        bucket = (VOCABULARY - BUCKETS + (hashes % np.uint64(BUCKETS)).astype(np.int64)).astype(np.int32)
+        bucket = (self.first + (hashes % np.uint64(BUCKETS)).astype(np.int64)).astype(np.int32)
         if not len(self.sorted):
             return bucket
         at = np.minimum(np.searchsorted(self.sorted, hashes), len(self.sorted) - 1)
@@ -91,34 +147,32 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 class Model:
     def __init__(self, flat: np.ndarray) -> None:
-        self.flat, self.p, at = flat, {}, 0
-        for name, shape in _SHAPES.items():
-            size = int(np.prod(shape))
+        self.classes = next(c for c in itertools.count(1) if _size(c) >= len(flat))
+        self.flat, self.p, self.bos, at = flat, {}, self.classes**2, 0
+        for name, shape in shapes(self.classes).items():
+            size = math.prod(shape)
             self.p[name] = flat[at : at + size].reshape(shape)
             at += size
 
-    @staticmethod
-    def size() -> int:
-        return sum(int(np.prod(s)) for s in _SHAPES.values())
-
     @classmethod
     def start(cls, counts: np.ndarray, seed: int = 1) -> Model:
         """Small random weights; the output biases are those of the words' frequencies."""
-        model = cls(np.zeros(cls.size(), np.float32))
+        classes = math.isqrt(len(counts))
+        model = cls(np.zeros(_size(classes), np.float32))
         rng = np.random.default_rng(seed)
         for name in ("E", "Wx", "Wh", "Wc", "Wo"):
-            model.p[name][:] = rng.normal(0, 0.1 if name in ("Wc", "Wo") else 0.25, _SHAPES[name])
-        share = (counts + 0.5).reshape(CLASSES, WIDTH)
+            model.p[name][:] = rng.normal(0, 0.1 if name in ("Wc", "Wo") else 0.25, model.p[name].shape)
+        share = (counts + 0.5).reshape(classes, classes)
         model.p["bc"][:] = np.log(share.sum(1) / share.sum())
         model.p["bo"][:] = np.log(share / share.sum(1, keepdims=True))
         return model
 
     def states(self, x: np.ndarray, h: np.ndarray, keep: list | None = None) -> np.ndarray:
-        """Hidden states [time, lane] after reading x, from h; a document's first symbol (_BOS) resets its lane."""
+        """Hidden states [time, lane] after reading x, from h; a document's first symbol (bos) resets its lane."""
         p, n = self.p, HIDDEN
         inputs = (p["E"][x.ravel()] @ p["Wx"] + p["b"]).reshape(*x.shape, 3 * n)
         out = np.empty((*x.shape, n), np.float32)
-        alive = (x != _BOS).astype(np.float32)[..., None]
+        alive = (x != self.bos).astype(np.float32)[..., None]
         for t in range(len(x)):
             before = h * alive[t]
             a = before @ p["Wh"]
@@ -134,7 +188,7 @@ class Model:
     def output(self, h: np.ndarray, y: np.ndarray, grads: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """Log-probability of each next symbol y (>= 0) after state h; with grads, also the gradient by h of the negative mean."""
         p = self.p
-        cls, word = y // WIDTH, y % WIDTH
+        cls, word = y // self.classes, y % self.classes
         logits = h @ p["Wc"] + p["bc"]
         logits -= logits.max(1, keepdims=True)
         e = np.exp(logits)
@@ -148,7 +202,7 @@ class Model:
             d /= len(y)
             grads["Wc"], grads["bc"], dh = h.T @ d, d.sum(0), d @ p["Wc"].T
         order = np.argsort(cls, kind="stable")
-        ends = np.searchsorted(cls[order], np.arange(CLASSES + 1))
+        ends = np.searchsorted(cls[order], np.arange(self.classes + 1))
         for c in np.flatnonzero(np.diff(ends)).tolist():
             i = order[ends[c] : ends[c + 1]]
             some = h[i]
@@ -180,7 +234,7 @@ class Model:
             g["Wc"][:], g["bc"][:] = mine["Wc"], mine["bc"]
             top[live] = dh
         top = top.reshape(out.shape)
-        alive = (x != _BOS).astype(np.float32)[..., None]
+        alive = (x != self.bos).astype(np.float32)[..., None]
         di, carry = np.empty((*x.shape, 3 * n), np.float32), np.zeros_like(h)
         da = np.empty((*x.shape, 3 * n), np.float32)
         for t in reversed(range(len(x))):
@@ -212,15 +266,16 @@ class Trainer:
         self.grads, self.m, self.v = Model(np.zeros_like(flat)), np.zeros_like(flat), np.zeros_like(flat)
 
     def train(self, documents: list[np.ndarray]) -> None:
-        stream = np.concatenate([np.r_[np.int32(_BOS), d] for d in documents])
+        bos = self.model.bos
+        stream = np.concatenate([np.r_[np.int32(bos), d] for d in documents])
         self.words += len(stream) - len(documents)
         lanes = max(1, min(LANES, len(stream) // WINDOW))
         steps = -(-len(stream) // lanes)
-        padded = np.full(lanes * steps + 1, _BOS, np.int32)
+        padded = np.full(lanes * steps + 1, bos, np.int32)
         padded[: len(stream)] = stream
         x = padded[:-1].reshape(lanes, steps).T
         y = padded[1:].reshape(lanes, steps).T
-        y = np.where(y == _BOS, -1, y)
+        y = np.where(y == bos, -1, y)
         h = np.zeros((lanes, HIDDEN), np.float32)
         for at in range(0, steps, WINDOW):
             h = self.model.gradient(np.ascontiguousarray(x[at : at + WINDOW]), y[at : at + WINDOW], h, self.grads)
@@ -238,16 +293,20 @@ class Trainer:
         self.model.flat -= scale * self.m / (np.sqrt(self.v) + 1e-6)
 
 
-def _documents(batch: pa.RecordBatch, ids: Ids) -> list[np.ndarray]:
+def _documents(batch: pa.RecordBatch, ids: Ids, rare: list | None = None) -> list[np.ndarray]:
+    """The ids of each row; with rare, also (rows, hashes) of the words in buckets."""
     out: list[np.ndarray] = []
     for at in range(0, batch.num_rows, 512):
         tokens = tokenize(batch.column("text").slice(at, 512).to_pylist())
         symbols = ids.of(tokens.hashes)
+        if rare is not None:
+            some = np.flatnonzero(symbols >= ids.first)
+            rare.append((np.searchsorted(tokens.bounds, some, "right") - 1 + at, tokens.hashes[some]))
         out += [symbols[a:b] for a, b in zip(tokens.bounds[:-1].tolist(), tokens.bounds[1:].tolist())]
     return out
 
 
-def _round(docs: DataFrame, flat: np.ndarray, words: np.ndarray, first: bool) -> np.ndarray:
+def _round(docs: DataFrame, flat: np.ndarray, words: Vocabulary, first: bool) -> np.ndarray:
     """Every task trains from the same weights; returns their average by words."""
     shared, rate = docs.sparkSession.sparkContext.broadcast((flat, words)), RATES[0 if first else 1]
 
@@ -271,22 +330,21 @@ def _round(docs: DataFrame, flat: np.ndarray, words: np.ndarray, first: bool) ->
         if lot:
             trainer.train(lot)
         if trainer.words:
-            yield pa.RecordBatch.from_pydict({"part": pa.array([partition_id() % 16], pa.int32()), "n": pa.array([float(trainer.words)]), "weights": pa.array([trainer.model.flat.tobytes()], pa.binary())})
+            slices = [trainer.model.flat[at : at + _SLICE].tobytes() for at in range(0, len(trainer.model.flat), _SLICE)]
+            yield pa.RecordBatch.from_pydict({"slice": pa.array(range(len(slices)), pa.int32()), "n": pa.array([float(trainer.words)] * len(slices)), "weights": pa.array(slices, pa.binary())})
 
     def average(table: pa.Table) -> pa.Table:
-        total, n = np.zeros(Model.size()), 0.0
+        total, n = 0.0, 0.0
         for w, blob in zip(table.column("n").to_pylist(), table.column("weights")):
-            total += w * np.frombuffer(blob.as_buffer(), np.float32)
+            total = total + w * np.frombuffer(blob.as_buffer(), np.float32).astype(np.float64)
             n += w
-        return pa.table({"n": pa.array([n]), "weights": pa.array([(total / n).astype(np.float32).tobytes()], pa.binary())})
+        return pa.table({"slice": table.column("slice")[:1], "weights": pa.array([(total / n).astype(np.float32).tobytes()], pa.binary())})
 
-    found = docs.select("text").mapInArrow(train, "part int, n double, weights binary").groupBy("part").applyInArrow(average, "n double, weights binary").collect()  # 16 rows
-    if not found:
-        return flat
-    return (sum(r.n * np.frombuffer(bytes(r.weights), np.float32).astype(np.float64) for r in found) / sum(r.n for r in found)).astype(np.float32)
+    found = docs.select("text").mapInArrow(train, "slice int, n double, weights binary").groupBy("slice").applyInArrow(average, "slice int, weights binary").collect()  # the weights of one model
+    return np.frombuffer(b"".join(bytes(r.weights) for r in sorted(found, key=lambda r: r.slice)), np.float32) if found else flat
 
 
-def trained(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+def trained(docs: DataFrame) -> tuple[np.ndarray, Vocabulary]:
     """Weights and vocabulary of a model of all documents."""
     words, counts = vocabulary(docs)
     flat = Model.start(counts).flat
@@ -296,8 +354,8 @@ def trained(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def log_likelihoods(model: Model, documents: list[np.ndarray]) -> np.ndarray:
-    """Of complete documents: they are spread over lanes, longest first, each to the shortest lane."""
-    out = np.zeros(len(documents))
+    """Of the ids of complete documents: they are spread over lanes, longest first, each to the shortest lane."""
+    out, bos = np.zeros(len(documents)), model.bos
     order = sorted((i for i in range(len(documents)) if len(documents[i])), key=lambda i: -len(documents[i]))
     if not order:
         return out
@@ -309,12 +367,12 @@ def log_likelihoods(model: Model, documents: list[np.ndarray]) -> np.ndarray:
         heapq.heapreplace(lanes, (size + len(documents[i]) + 1, k))
     # the longest lanes first, so that those still going are the first ones; each begins with the symbol before its first word
     lanes.sort(reverse=True)
-    streams = [np.concatenate([np.r_[np.int32(_BOS), documents[i]] for i in pieces[k]]) for _, k in lanes]
+    streams = [np.concatenate([np.r_[np.int32(bos), documents[i]] for i in pieces[k]]) for _, k in lanes]
     owners = [np.repeat(np.array(pieces[k], np.int32), [len(documents[i]) + 1 for i in pieces[k]]) for _, k in lanes]
     h = np.zeros((len(lanes), HIDDEN), np.float32)
     for at in range(0, lanes[0][0], WINDOW):
         going = sum(size > at for size, _ in lanes)
-        x = np.full((going, WINDOW + 1), _BOS, np.int32)
+        x = np.full((going, WINDOW + 1), bos, np.int32)
         owner = np.zeros((going, WINDOW), np.int32)
         for k in range(going):
             some = streams[k][at : at + WINDOW + 1]
@@ -324,25 +382,66 @@ def log_likelihoods(model: Model, documents: list[np.ndarray]) -> np.ndarray:
         y, x, owner = x[:, 1:].T.ravel(), np.ascontiguousarray(x[:, :-1].T), owner.T.ravel()
         states = model.states(x, h[:going])
         h = states[-1]
-        live = np.flatnonzero(y != _BOS)
+        live = np.flatnonzero(y != bos)
         if len(live):
             logp, _ = model.output(states.reshape(-1, HIDDEN)[live], y[live])
             out += np.bincount(owner[live], weights=logp, minlength=len(out))
     return out
 
 
-def scored(docs: DataFrame, flat: np.ndarray, words: np.ndarray) -> DataFrame:
-    """doc_id, n_words, log_likelihood (natural, of the whole text) and perplexity by word."""
+def scored(docs: DataFrame, flat: np.ndarray, words: Vocabulary) -> DataFrame:
+    """doc_id, n_words, log_likelihood (natural, of the whole text) and perplexity by word.
+
+    The network's part is scored first. The words in buckets go to the parts of the corpus' counts, their sums come back.
+    """
     shared = docs.sparkSession.sparkContext.broadcast((flat, words))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, vocabulary_ = shared.value
-        model, ids = Model(weights), Ids(vocabulary_)
+        model, ids, base = Model(weights), Ids(vocabulary_), partition_id() << ROW_BITS
         for batch in batches:
-            documents = _documents(batch, ids)
+            rare: list = []
+            documents = _documents(batch, ids, rare)
             n = np.array([len(d) for d in documents], np.int64)
             logp = log_likelihoods(model, documents)
+            owner, hashes = (np.concatenate(x) for x in zip(*rare)) if rare else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
+            order = np.argsort(hashes)
+            owner, hashes = owner[order].astype(np.int32), hashes[order]
+            ends = _part(hashes, vocabulary_.parts)
+            rows = [(p, base, owner[ends[p] : ends[p + 1]].tobytes(), hashes[ends[p] : ends[p + 1]].tobytes()) for p in np.flatnonzero(np.diff(ends)).tolist()]
+            m = batch.num_rows
+            columns = [pa.array([-1] * m + [r[0] for r in rows], pa.int32()), pa.array([base] * (m + len(rows)), pa.int64()), pa.array([*range(m), *[m] * len(rows)], pa.int32())]
+            columns += [pa.concat_arrays([batch.column("doc_id").cast(pa.int64()), pa.nulls(len(rows), pa.int64())]), pa.array(np.r_[n, np.zeros(len(rows), np.int64)]), pa.array(np.r_[logp, np.zeros(len(rows))])]
+            columns += [pa.array([None] * m + [r[i] for r in rows], pa.binary()) for i in (2, 3)]
+            yield pa.RecordBatch.from_arrays(columns, ["part", "base", "place", "doc_id", "n_words", "logp", "owner", "hashes"])
+            base += max(m, 1)
+
+    def look(sent: pa.Table, counted: pa.Table) -> pa.Table:
+        vocabulary_, bases, tails = shared.value[1], sent.column("base").to_pylist(), []
+        known = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in counted.column("words")] or [np.zeros(0, np.uint64)])
+        counts = np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in counted.column("n")] or [np.zeros(0, np.int64)])
+        for x, y in zip(sent.column("owner"), sent.column("hashes")):
+            hashes, owner = np.frombuffer(y.as_buffer(), np.uint64), np.frombuffer(x.as_buffer(), np.int32)
+            n = np.zeros(len(hashes), np.int64)
+            if len(known):
+                at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+                n = np.where(known[at] == hashes, counts[at], 0)
+            tails.append(np.bincount(owner, weights=vocabulary_.log_tails(hashes, n)).tobytes())
+        return pa.table({"base": pa.array(bases, pa.int64()), "tails": pa.array(tails, pa.binary())})
+
+    def total(documents: pa.Table, tails: pa.Table) -> pa.Table:
+        place, logp, n = (documents.column(c).to_numpy() for c in ("place", "logp", "n_words"))
+        added = np.zeros(len(place))
+        for blob in tails.column("tails"):
+            some = np.frombuffer(blob.as_buffer(), np.float64)
+            added[: len(some)] += some
+        logp = logp + added[place]
+        with np.errstate(over="ignore"):
             perplexity = np.exp(-logp / np.maximum(n, 1))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(n), pa.array(logp), pa.array(perplexity, mask=n == 0)], ["doc_id", "n_words", "log_likelihood", "perplexity"])
+        return pa.table({"doc_id": documents.column("doc_id"), "n_words": n, "log_likelihood": logp, "perplexity": pa.array(perplexity, mask=n == 0)})
 
-    return docs.select("doc_id", "text").mapInArrow(score, "doc_id long, n_words long, log_likelihood double, perplexity double")
+    made = written(docs.select("doc_id", "text").mapInArrow(score, "part int, base long, place int, doc_id long, n_words long, logp double, owner binary, hashes binary"), "scores")
+    sent = made.where("part >= 0").select("part", "base", "owner", "hashes")
+    tails = sent.groupBy("part").cogroup(words.counted.select("part", "words", "n").groupBy("part")).applyInArrow(look, "base long, tails binary")
+    documents = made.where("part < 0").select("base", "place", "doc_id", "n_words", "logp")
+    return documents.groupBy("base").cogroup(tails.groupBy("base")).applyInArrow(total, "doc_id long, n_words long, log_likelihood double, perplexity double")

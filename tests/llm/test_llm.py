@@ -171,6 +171,35 @@ def test_language_model_learns_and_scores_whole_documents(spark, tmp_path, odd,
     assert language_model.scored(empty, flat, words).count() == 0
 
 
+def test_words_in_buckets_are_scored_by_their_counts(spark, tmp_path):
+    rng = random.Random(6)
+    texts = [" ".join(f"w{min(rng.randrange(1, 3000), rng.randrange(1, 3000))}" for _ in range(60)) for _ in range(150)]
+    docs = table(spark, list(enumerate(texts)), tmp_path / "d.parquet")
+    flat, words = language_model.trained(docs)
+    counts = Counter(h for t in texts for h in common.tokenize([t]).hashes.tolist())
+    rare = {h: n for h, n in counts.items() if h not in set(words.words.tolist())}
+    sums = Counter()
+    for h, n in rare.items():
+        sums[h % language_model.BUCKETS] += n
+    seen = list(rare)
+    assert len(rare) > 1000
+    model, ids = language_model.Model(flat), language_model.Ids(words)
+    new = table(spark, [(0, "never seen here"), *((i, t) for i, t in enumerate(texts) if i)], tmp_path / "n.parquet")
+    for r in language_model.scored(new, flat, words).collect():
+        hashes = common.tokenize([texts[r.doc_id] if r.doc_id else "never seen here"]).hashes
+        tail = sum(math.log((rare[h] - 0.5) / sums[h % 64]) for h in hashes.tolist() if h in rare)
+        tail += sum(math.log(0.5 * sum(x % 64 == h % 64 for x in seen) * 64 / 2**64 / sums[h % 64]) for h in hashes.tolist() if h not in counts)
+        assert abs(r.log_likelihood - language_model.log_likelihoods(model, [ids.of(hashes)])[0] - tail) < 0.01
+
+
+def test_model_grows_with_the_corpus(spark, tmp_path, monkeypatch):
+    assert language_model.classes_for(0) == 32 and language_model.classes_for(10**8) == 100 and language_model.classes_for(10**10) == 317
+    monkeypatch.setattr(language_model, "MIN_CLASSES", 8)
+    docs = table(spark, [(i, prose(random.Random(i), 100)) for i in range(200)], tmp_path / "d.parquet")
+    flat, words = language_model.trained(docs)
+    assert language_model.Model(flat).classes == words.classes == 12 and len(words.words) == 144 - language_model.BUCKETS
+
+
 # 4 Jaccard join and groups
 
 
