@@ -195,10 +195,15 @@ def own(df: DataFrame) -> list[Column]:
 
 
 def numbered(docs: DataFrame, name: str = "rid") -> DataFrame:
-    """A stable scan with a column (by default rid) that numbers the rows: partition << 33 | place in the partition."""
+    """docs with a column (by default rid) that numbers the rows: partition << 33 | place in the partition. Only for one job: another may cut the files otherwise."""
     return docs.withColumn(name, F.monotonically_increasing_id())
 
 
+def numbered_table(docs: DataFrame, name: str = "rid") -> DataFrame:
+    """The same as a table in the shared folder, so that all jobs read the same numbers, whatever executors there are. In a file they go up by one."""
+    return written(numbered(docs, name), "numbered")
+
+
 def input_bytes(df: DataFrame) -> int:
     """Size of the files that a stable scan reads, as the optimizer knows it (of other plans it knows none)."""
     todo, total = [df._jdf.queryExecution().optimizedPlan()], 0
@@ -227,13 +232,16 @@ def bitmaps(rows: DataFrame) -> dict[int, np.ndarray]:
 def listed(batch: pa.RecordBatch, bits: dict[int, np.ndarray], name: str = "rid") -> np.ndarray:
     """Whether the rid of each row is in the bitmaps."""
     rid = batch.column(name).to_numpy()
-    packed = bits.get(int(rid[0]) >> ROW_BITS) if len(rid) else None
-    if packed is None:
-        return np.zeros(len(rid), bool)
-    at = rid & ((1 << ROW_BITS) - 1)
-    inside = at < len(packed) * 8
-    at = np.where(inside, at, 0)
-    return inside & ((packed[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).astype(bool)
+    parts, out = rid >> ROW_BITS, np.zeros(len(rid), bool)
+    for part in np.unique(parts).tolist():
+        packed = bits.get(part)
+        if packed is not None:
+            mine = np.flatnonzero(parts == part)
+            at = rid[mine] & ((1 << ROW_BITS) - 1)
+            inside = at < len(packed) * 8
+            at = np.where(inside, at, 0)
+            out[mine] = inside & ((packed[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).astype(bool)
+    return out
 
 
 class Chooser:
@@ -251,11 +259,11 @@ class Chooser:
         return batch.filter(pa.array(listed(batch, self._bits.value))) if self._bits else batch
 
 
-def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """The rows of a stable scan but those whose rid (by numbered()) is in gone."""
-    rid = fresh(docs, "rid")
-    scan, names = numbered(docs, rid), docs.columns
-    if docs.count() > MAX_BITMAP_ROWS:
+def without(scan: DataFrame, gone: DataFrame, rid: str = "rid") -> DataFrame:
+    """The rows of a numbered_table() but those whose number is in gone's rid; rid is the name of its last column, which is left out."""
+    docs = scan.drop(rid)
+    names = docs.columns
+    if scan.count() > MAX_BITMAP_ROWS:
         return scan.join(gone.select(F.col("rid").alias(rid)), rid, "left_anti").select(*own(docs))
     bits = docs.sparkSession.sparkContext.broadcast(bitmaps(gone))
 

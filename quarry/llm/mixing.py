@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import numbered, own, stable, written
+from .common import fresh, numbered, numbered_table, own, stable, written
 
 BLOCK_TOKENS = 2048
 ALPHA = 0.7
@@ -134,15 +134,16 @@ def mixed(docs: DataFrame, block_tokens: int = BLOCK_TOKENS, weights: dict[str,
 
 def resampled(docs: DataFrame, block_tokens: int = BLOCK_TOKENS, weights: dict[str, float] | None = None) -> DataFrame:
     """The rows of docs, each as often as the schedule has the block in which it begins; sources without weight are left out."""
-    docs = stable(docs, "unmixed")
-    where = written(placed(numbered(docs.select("doc_id", "text", "source"))), "placed")
+    rid = fresh(docs, "rid")
+    table = numbered_table(docs, rid)
+    where = written(placed(table.select(F.col(rid).alias("rid"), "doc_id", "text", "source")), "placed")
     plan = schedule(where, block_tokens, weights)
     if plan is None:
         return docs.limit(0)
     totals = where.groupBy("source").agg(F.max(F.col("first") + F.col("n_tokens")).alias("total"))
     block = F.least(F.floor(F.col("first") / block_tokens), F.greatest(F.floor((F.col("total") - 1) / block_tokens), F.lit(0)))
     times = where.join(totals, "source").select("rid", F.col("source"), block.alias("block")).join(plan.groupBy("source", "block").agg(F.count("*").alias("times")), ["source", "block"]).select("rid", "times")
-    rows = numbered(docs.select(F.struct(*own(docs)).alias("row")))  # apart, so that no name can clash
+    rows = table.select(F.col(rid).alias("rid"), F.struct(*own(docs)).alias("row"))  # apart, so that no name can clash
     return rows.join(times, "rid").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select("row.*")
 
 

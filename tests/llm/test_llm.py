@@ -245,6 +245,28 @@ def test_one_of_each_group(spark, odd, empty):
     assert grouping.one_of_each_group(empty).count() == 0
 
 
+def test_row_numbers_hold_when_files_are_split_otherwise(spark, tmp_path, monkeypatch):
+    rng = random.Random(8)
+    texts = [prose(rng, 60, 3000) for _ in range(300)]
+    docs = table(spark, [(i, texts[i % 200]) for i in range(300)], tmp_path / "d.parquet")
+    made = []
+
+    def bitmaps(rows, make=common.bitmaps):
+        made.append(1)  # as if an executor came or went: each job cuts the files another way
+        spark.conf.set("spark.sql.files.minPartitionNum", str(1 + 6 * (len(made) % 2)))
+        return make(rows)
+
+    monkeypatch.setattr(common, "bitmaps", bitmaps)
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        kept = sorted(r.doc_id for r in grouping.one_of_each_group(docs).collect())
+        assert made and kept == list(range(200))
+        assert {(r.doc_a, r.doc_b) for r in jaccard.near_pairs(docs).collect()} == {(i, i + 200) for i in range(100)}
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+        spark.conf.unset("spark.sql.files.minPartitionNum")
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 102), (100, 102), (7, 7)]
     got = {r.u: r.v for r in grouping.components(spark.createDataFrame(chain, "u long, v long")).collect()}
