@@ -5,9 +5,12 @@ secrets (keys and tokens after a telling name), and person names (after a form o
 
 A surrogate is a keyed permutation of the values of its format: letters stay letters of their case and script, digits
 stay digits, check digits are right again, private addresses stay private, known first names become others of the same
-gender and script. A permutation never maps two values to one, and the same value has the same surrogate everywhere
-(coreference). What a permutation cannot promise is checked over the whole corpus: a surrogate that equals its
-original or another original, or a surrogate of the same type, is drawn again with another tweak.
+same gender and script. A permutation never maps two values to one nor a value to itself, and the same value has the
+same surrogate everywhere (coreference). What a permutation cannot promise is checked over the whole corpus: a surrogate
+of the same type that two formats share, or that equals another original, is drawn again with other tweaks. Every first
+surrogate stays reserved meanwhile. A value may keep it if it is another original's text, which cannot be avoided where
+all values of a format occur (and is not tried for names and values of two characters); if two values still share one,
+an error is raised.
 
 Defined results
 * Null texts stay null, empty ones empty; both have no entities. Rows are treated one by one: repeated rows and rows
@@ -33,7 +36,8 @@ from .common import own, written
 KEY = b"quarry surrogates 1"
 #: Exceptions (values with a tweak) sent to all tasks; more of them are joined instead.
 MAX_EXCEPTIONS = 200_000
-_ROUNDS, MAX_TWEAKS = 6, 16
+#: Tweaks tried for surrogates that are another original, and, from there on, for those still shared.
+_ROUNDS, MAX_TWEAKS, MAX_HARD_TWEAKS = 6, 16, 64
 
 _FIRST = {
     ("latin", "f"): "Anna Maria Emma Sophie Laura Julia Lena Sarah Mary Emily Alice Claire Camille Isabel Carmen Lucia Elena Ingrid Helga Marta Nadia Olivia Grace Chloe Manon Sofia Paula Ines Petra Ursula".split(),
@@ -125,18 +129,21 @@ def entities(text: str | None) -> list[tuple[int, int, str]]:
 
 
 def _permute(x: int, size: int, key: bytes, context: str) -> int:
-    """A keyed permutation of 0 to size - 1: a Feistel network on the next even number of bits, walked until it is inside."""
-    if size < 2:
-        return x
+    """A keyed permutation of 0 to size - 1 without fixed points: one cycle through all of them, in the order of a Feistel network."""
+    return x if size < 2 else _network((_network(x, size, key, context) + 1) % size, size, key, context, back=True)
+
+
+def _network(x: int, size: int, key: bytes, context: str, back: bool = False) -> int:
+    """A keyed permutation of 0 to size - 1, or its inverse: a Feistel network on the next even number of bits, walked until it is inside."""
     half = max(1, (max(1, (size - 1).bit_length()) + 1) // 2)
     mask = (1 << half) - 1
     while True:
-        left, right = x >> half, x & mask
-        for i in range(_ROUNDS):
+        left, right = (x & mask, x >> half) if back else (x >> half, x & mask)
+        for i in reversed(range(_ROUNDS)) if back else range(_ROUNDS):
             f = hmac.digest(key, f"{context}|{size}|{i}|{right}".encode(), hashlib.sha256)
             f = int.from_bytes(f, "big") if half <= 256 else int.from_bytes(hashlib.shake_256(f).digest(half // 8 + 1), "big")
             left, right = right, left ^ (f & mask)
-        x = left << half | right
+        x = right << half | left if back else left << half | right
         if x < size:
             return x
 
@@ -215,7 +222,11 @@ def _person(word: str, tweak: int, key: bytes) -> str:
         pool, i = _POOL[word]
         order = sorted(_FIRST[pool], key=lambda name: hmac.digest(key, f"first|{tweak}|{name}".encode(), hashlib.sha256))
         return order[(order.index(word) + 1) % len(order)]  # the next in a keyed ring: never the name itself
-    return _template(word, [*_NAMES, _LATIN, _LATIN.upper()], key, f"last|{tweak}")
+    new = _template(word, [*_NAMES, _LATIN, _LATIN.upper()], key, f"last|{tweak}")
+    if new == word:  # of letters that no alphabet has: others by hash, whose repeats assigned() finds
+        digest = hmac.digest(key, f"other|{tweak}|{word}".encode(), hashlib.sha256)
+        new = "".join("BCDFGHJKLMNPRSTV"[x % 16].lower() + "aeio"[x // 16 % 4] for x in digest[: max(3, len(word) // 2)]).capitalize()
+    return new
 
 
 def _units(kind: str, value: str) -> list[tuple[str, str]]:
@@ -247,18 +258,29 @@ def _assigned(units: DataFrame) -> DataFrame:
 def assigned(docs: DataFrame) -> DataFrame:
     """type, value, tweak, surrogate of every unit in the corpus, without collisions."""
     table = written(_assigned(mentioned(docs).withColumn("tweak", F.lit(0))), "surrogates")
-    for _ in range(MAX_TWEAKS):
-        originals = table.select("type", F.col("value").alias("surrogate"), F.lit(True).alias("taken"))
-        place = F.row_number().over(Window.partitionBy("type", "surrogate").orderBy("value"))
-        marked = table.withColumn("place", place).join(originals, ["type", "surrogate"], "left").withColumn("bad", F.col("taken").isNotNull() | (F.col("place") > 1))
-        # values shorter than 3 characters have too few values to avoid all others; they keep distinct surrogates
-        # so do names, whose surrogates come from short lists
-        bad = written(marked.where("place > 1 OR surrogate = value OR (bad AND length(value) > 2 AND type <> 'person')").select("type", "value", "tweak"), "collisions")
-        if not bad.take(1):
-            return table
-        again = _assigned(bad.withColumn("tweak", F.col("tweak") + 1))
-        table = written(table.join(bad.select("type", "value"), ["type", "value"], "left_anti").unionByName(again), "surrogates")
-    return table
+    originals = table.select("type", F.col("value").alias("surrogate"), F.lit(True).alias("original"))
+    place = lambda: F.row_number().over(Window.partitionBy("type", "surrogate").orderBy("value"))
+    # values shorter than 3 characters have too few values to avoid all others; names come from short lists
+    marked = table.withColumn("place", place()).join(originals, ["type", "surrogate"], "left")
+    marked = marked.withColumn("hard", (F.col("place") > 1) | (F.col("surrogate") == F.col("value"))).withColumn("loose", (F.length("value") < 3) | (F.col("type") == "person"))
+    todo = written(marked.where("hard OR (original AND NOT loose)").select("type", "value", "hard", "loose"), "collisions")
+    moved: DataFrame | None = None
+    for tweak in range(1, MAX_HARD_TWEAKS + 1):
+        # beyond MAX_TWEAKS, only those that share a surrogate go on, and take the texts of other originals, too
+        more = todo if tweak <= MAX_TWEAKS else todo.where("hard")
+        if not more.take(1):
+            break
+        reserved = table.select("type", "surrogate")
+        reserved = (reserved if moved is None else reserved.unionByName(moved.select("type", "surrogate"))).distinct()
+        drawn = _assigned(more.withColumn("tweak", F.lit(tweak))).join(more, ["type", "value"]).join(originals, ["type", "surrogate"], "left")
+        free = drawn.where("surrogate <> value").where(F.col("original").isNull() | (F.col("loose") | F.lit(tweak > MAX_TWEAKS))).join(reserved, ["type", "surrogate"], "left_anti")
+        won = written(free.withColumn("place", place()).where("place = 1").select("type", "value", "tweak", "surrogate"), "redrawn")
+        moved = won if moved is None else written(moved.unionByName(won), "redrawn")
+        todo = written(todo.join(won, ["type", "value"], "left_anti"), "collisions")
+    left = todo.where("hard").limit(1).collect()
+    if left:
+        raise RuntimeError(f"a value of type {left[0]['type']} has no surrogate of its own after {MAX_HARD_TWEAKS} tweaks")
+    return table if moved is None else table.join(moved.select("type", "value"), ["type", "value"], "left_anti").unionByName(moved)
 
 
 def _replace(text: str | None, lookup: dict[tuple[str, str], int] | None) -> tuple[str | None, int]:

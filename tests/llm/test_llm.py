@@ -409,6 +409,16 @@ def test_replaced(spark, tmp_path, odd, empty, monkeypatch):
     assert surrogates.replaced(empty).count() == 0 and surrogates.replaced(odd[0]).count() == len(odd[1])
 
 
+def test_full_formats_have_surrogates_of_their_own(spark, tmp_path):
+    for size in [*range(2, 70), 1000]:
+        got = [surrogates._permute(x, size, b"k", "c") for x in range(size)]
+        assert sorted(got) == list(range(size)) and all(x != y for x, y in enumerate(got))
+    names = [a.upper() + b for a in surrogates._CONSONANTS for b in ("", *surrogates._VOWELS)] + [*"AEIOUY", "Ł", "Ś"]
+    rows = [(i, f"Mr. {n}.") for i, n in enumerate(names)] + [(900 + i, f"at 192.168.{i >> 8}.{i & 255}") for i in range(300)]
+    got = surrogates.assigned(table(spark, rows, tmp_path / "d.parquet")).collect()
+    assert len(got) == len(rows) == len({(r.type, r.surrogate) for r in got}) and all(r.surrogate != r.value for r in got)
+
+
 # 9 WARC
 
 
