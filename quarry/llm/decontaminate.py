@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import input_bytes, stable, tokenize
+from .common import fresh, input_bytes, stable, tokenize
 from .fm import FMIndex
 
 N = 8
@@ -195,15 +195,49 @@ def cut(text: str, found: list[tuple[int, int, set[int]]]) -> str:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, n: int = N) -> DataFrame:
-    """docs with the spans cut out of the texts. A benchmark of several slices is removed slice by slice."""
-    out = docs
+    """docs with the spans cut out of the texts. The spans of all slices of a benchmark are found in the original text, merged and cut at once."""
+    out, held, last = docs, fresh(docs, "_spans"), None
     for phrases in _slices(benchmark, n):
-        out = _cleaned(out, phrases)
+        if last is not None:
+            out = _marked(out, last, held)
+        last = phrases
+    return docs if last is None else _cleaned(out, last, held if held in out.columns else None)
+
+
+_HELD = "array<struct<a:long,b:long>>"
+
+
+def _marked(docs: DataFrame, phrases: Phrases, held: str) -> DataFrame:
+    """docs with the spans of one slice of the benchmark added to the column held, its last."""
+    docs = docs if held in docs.columns else docs.withColumn(held, F.lit(None).cast(_HELD))
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for some, spans in _shards(batches, phrases):
+            first = 0
+            for batch in some:
+                column = batch.column(batch.num_columns - 1)
+                found = [(old or []) + [{"a": a, "b": b} for a, b, _ in spans.get(first + i, [])] for i, old in enumerate(column.to_pylist())]
+                first += batch.num_rows
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([x or None for x in found], column.type)], schema=batch.schema)
+
+    return docs.mapInArrow(mark, docs.schema)
+
+
+def _joined(spans: list[tuple[int, int, set[int]]]) -> list[tuple[int, int, set[int]]]:
+    """Spans of several slices in one text, overlapping and touching ones as one."""
+    out: list[tuple[int, int, set[int]]] = []
+    for a, b, items in sorted(spans, key=lambda s: s[:2]):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]), out[-1][2] | items)
+        else:
+            out.append((a, b, items))
     return out
 
 
-def _cleaned(docs: DataFrame, phrases: Phrases) -> DataFrame:
-    names = docs.columns
+def _cleaned(docs: DataFrame, phrases: Phrases, earlier: str | None = None) -> DataFrame:
+    """docs without the spans of phrases, and of those in the column earlier, the last, which is left out."""
+    kept = docs.drop(earlier) if earlier else docs
+    names = kept.columns
     text_at = names.index("text")
     chars_at = names.index("n_chars") if "n_chars" in names else None
 
@@ -213,6 +247,11 @@ def _cleaned(docs: DataFrame, phrases: Phrases) -> DataFrame:
             for batch in held:
                 mine = {d - first: s for d, s in spans.items() if first <= d < first + batch.num_rows}
                 first += batch.num_rows
+                if earlier:
+                    for d, old in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
+                        if old:
+                            mine[d] = _joined([*mine.get(d, []), *((s["a"], s["b"], set()) for s in old)])
+                    batch = pa.RecordBatch.from_arrays(batch.columns[:-1], batch.schema.names[:-1])
                 if mine:
                     columns = list(batch.columns)
                     new = {d: cut(columns[text_at][d].as_py(), s) for d, s in mine.items()}
@@ -228,7 +267,7 @@ def _cleaned(docs: DataFrame, phrases: Phrases) -> DataFrame:
                     batch = pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(pa.array(keep))
                 yield batch
 
-    return docs.mapInArrow(remove, docs.schema)
+    return docs.mapInArrow(remove, kept.schema)
 
 
 ORACLE_SQL = rf"""

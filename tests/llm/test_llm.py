@@ -303,6 +303,20 @@ def test_decontamination(spark, tmp_path, odd, empty):
     assert decontaminate.spans(empty, bench).count() == 0 and decontaminate.clean(odd[0], bench.limit(0)).count() == len(odd[1])
 
 
+def test_slices_of_a_benchmark_are_cut_at_once(spark, tmp_path, monkeypatch):
+    w = [f"v{i}" for i in range(40)]
+    items = [(i, " ".join(w[a : a + 12])) for i, a in enumerate(range(0, 24, 2))] + [(50, "left right " + " ".join(w[34:40]))]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = [(1, "start " + " ".join(w[:34]) + " end"), (2, "left " + " ".join(w[:12]) + " right " + " ".join(w[34:40])), (3, None), (4, "clean"), (5, " ".join(w[:34]))]
+    docs = table(spark, rows, tmp_path / "d.parquet")
+    whole = {r.copy: r for r in decontaminate.clean(docs, bench).collect()}
+    monkeypatch.setattr(decontaminate, "SLICE_BYTES", 300)
+    assert len(list(decontaminate._slices(bench, 8))) > 2
+    out = decontaminate.clean(docs, bench)
+    assert out.columns == docs.columns and {r.copy: r for r in out.collect()} == whole
+    assert whole["c0"].text == "start  end" and whole["c1"].text == "left  right " + " ".join(w[34:40]) and "c4" not in whole
+
+
 def brute_repeats(rows, length):
     texts = {(d, t) for d, t in ((r[0], r[1]) for r in rows) if t}
     where = {}
