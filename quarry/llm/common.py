@@ -65,6 +65,18 @@ class Tokens(NamedTuple):
     bounds: np.ndarray
 
 
+def spans(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the substrings from starts to ends: polynomials in the code points, cut out of prefix sums."""
+    global _LETTER, _CODE
+    if _LETTER is None:
+        _LETTER, _CODE = _tables()
+    power, inverse = _powers(len(points) + 1)
+    with np.errstate(over="ignore"):
+        sums = np.zeros(len(points) + 1, np.uint64)
+        np.cumsum(_CODE[points] * power[: len(points)], out=sums[1:])
+        return mix((sums[ends] - sums[starts]) * inverse[starts])
+
+
 def tokenize(texts: list[str | None]) -> Tokens:
     """words() of each text at once, as 64-bit hashes: a word's hash is a polynomial in its code points, cut out of prefix sums."""
     global _LETTER, _CODE
@@ -77,11 +89,7 @@ def tokenize(texts: list[str | None]) -> Tokens:
     inside = _LETTER[points]
     edges = np.flatnonzero(np.diff(inside, prepend=False, append=False))
     starts, ends = edges[::2], edges[1::2]
-    power, inverse = _powers(len(points) + 1)
-    with np.errstate(over="ignore"):
-        sums = np.zeros(len(points) + 1, np.uint64)
-        np.cumsum(_CODE[points] * power[: len(points)], out=sums[1:])
-        hashes = mix((sums[ends] - sums[starts]) * inverse[starts])
+    hashes = spans(points, starts, ends)
     bounds = np.searchsorted(starts, firsts)
     shift = np.repeat(firsts[:-1], np.diff(bounds))
     return Tokens(hashes, starts - shift, ends - shift, bounds)

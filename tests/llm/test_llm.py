@@ -371,6 +371,74 @@ def test_coder_round_trip():
     assert token_output.encode_blocks([]) == []
 
 
+def plain_code(ids):
+    """The coder by definition, id by id."""
+    total, known, held = 1 << 26, [{}, {}], [{}, {}]
+    value, place, scale, counted, hits, plan = 0, 0, 1 << 22, [], [], token_output.updates(len(ids)).tolist()
+    weight = lambda h, n: min(max((8192 * h + 4096) // (2 * n + 2), 32), 4064)
+    for t, x in enumerate(ids):
+        if t in plan:
+            counted = sorted(ids[:t])
+        one, two = ids[t - 1] if t else 65_535, ids[t - 2] if t > 1 else 65_535
+        contexts, parts, rest = (one, (one * 40_503 + two * 2_654_435_761 & 0xFFFFFFFF) >> 9 & 0xFFFF), [], float(total - 65_536)
+        for k, depth in ((1, 16), (0, 32)):
+            seen = known[k].setdefault(contexts[k], [])[-depth:]
+            kind = (min(len(seen).bit_length(), 7), len(seen) > 1 and seen[-1] == seen[-2])
+            tally = held[k].setdefault(kind, [0, 0])
+            w = rest * ((weight(*tally) if seen else 0) / 4096)
+            rest -= w
+            parts.append((w / max(len(seen), 1), seen))
+            tally[0] += x in seen
+            tally[1] += 1
+            known[k][contexts[k]].append(x)
+        recent = hits[-1024:]
+        w = rest * ((weight(sum(recent), len(recent)) if counted else 0) / 4096)
+        rest -= w
+        parts.append((w / max(len(counted), 1), counted))
+        hits.append(x in counted)
+
+        def start(y):
+            sum_ = rest * float(token_output._PRIOR[y])
+            for w, seen in reversed(parts):
+                sum_ += w * sum(s < y for s in seen)
+            return int(sum_) + y
+
+        low, high = start(x), start(x + 1)
+        value, room = value + scale * low, scale * (high - low)
+        shift = 49 - room.bit_length()
+        value, place, scale = value << shift, place + shift, room << shift >> 26
+    size = -(-(place + 2) // 8)
+    value += (1 << 47) - 1
+    gone = place + 49 - size * 8
+    return (value >> gone if gone >= 0 else value << -gone).to_bytes(size, "big")
+
+
+def test_coder_by_definition():
+    rng = random.Random(5)
+    blocks = [[rng.choice((3, 70, 70, 900, 50_000, rng.randrange(65_536))) for _ in range(n)] for n in (1, 2, 40, 700)] + [[7] * 300, [END for END in (50_256,) * 50], list(range(200)) * 2]
+    assert token_output.encode_blocks([np.array(b, np.uint16) for b in blocks]) == [plain_code(b) for b in blocks]
+
+
+def test_tokenizer_finds_the_pieces():
+    tokenizer = token_output.Tokenizer(token_output.VOCABULARY)
+    texts = ["I'm it's we'll they're 've'd 'start ''s  's\n's'", " \n\n x  y\t z ", "a  ", "né 日本語 1½ x²", "", "'", "'s", "  ", "don't!!  'quoted' \u0301x", "<|endoftext|>", "\x00", "a" * 3000, " " * 900 + "\n"]
+    for some in (texts, texts[::-1], [*texts, "with \U0010ffff in it"]):
+        for _ in range(2):
+            ids, ends = tokenizer.all(some)
+            for a, b, t in zip([0, *ends], ends, some):
+                assert ids[a : b - 1].tolist() == tokenizer(t).tolist() and ids[b - 1] == token_output.END
+
+
+def test_token_blocks_of_production_size(spark, tmp_path):
+    rng = random.Random(8)
+    rows = [(1, prose(rng, 20_000, 30_000)), (2, "same"), (3, "same"), (None, None), (5, prose(rng, 3000)), (6, "")]
+    docs = table(spark, rows, tmp_path / "d.parquet")
+    blocks = token_output.written_blocks(docs.coalesce(1))
+    sizes = [r.n_ids for r in blocks.orderBy("block").collect()]
+    assert len(sizes) > 3 and set(sizes[:-1]) == {token_output.BLOCK}
+    assert Counter((r.doc_id, r.text) for r in token_output.read_blocks(blocks).collect()) == Counter((r[0], r[1]) for r in rows)
+
+
 def test_token_output(spark, tmp_path, empty):
     rng = random.Random(1)
     rows = [(1, "Hello  world\n"), (2, None), (3, ""), (None, "<|endoftext|> is text"), (2, "né 日本 \x00"), (4, prose(rng, 3000)), (4, "tie"), (5, "tie")]
