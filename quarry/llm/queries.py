@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard, language_model, mixing, quality, sharding, substrings, surrogates, token_output, warc
+from . import decontaminate, grouping, language_model, mixing, quality, sharding, substrings, surrogates, token_output, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,7 +27,7 @@ def op3_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.near_pairs(_table(spark, sf_dir, "documents"))
+    return grouping.linked(_table(spark, sf_dir, "documents"))
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,7 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_mixing": mixing.ORACLE_SQL,
-    "op4_ngram_jaccard": jaccard.ORACLE_SQL,
+    "op4_ngram_jaccard": grouping.ORACLE_SQL,
     "op5_decontaminate": decontaminate.ORACLE_SQL,
     "op6_substrings": substrings.ORACLE_SQL,
     "op9_warc": warc.ORACLE_SQL,

@@ -234,6 +234,52 @@ def test_near_pairs(spark, tmp_path, odd, empty):
     assert jaccard.near_pairs(empty).count() == 0
 
 
+def brute_linked(rows):
+    """(doc_id, class_id, links) of each row."""
+    sets = [grams_of(r[1]) for r in rows]
+    near = [{j for j, y in enumerate(sets) if j != i and x and y and len(x & y) / len(x | y) >= jaccard.THRESHOLD} for i, x in enumerate(sets)]
+    out = []
+    for i, r in enumerate(rows):
+        group, todo = {i}, [i]
+        while todo:
+            new = near[todo.pop()] - group
+            group |= new
+            todo += new
+        out.append((r[0], min((rows[j][0] for j in group if rows[j][0] is not None), default=None), len(near[i])))
+    return out
+
+
+def test_linked(spark, tmp_path, odd, empty, monkeypatch):
+    docs, rows = odd
+    assert Counter(tuple(r) for r in grouping.linked(docs).collect()) == Counter(brute_linked(rows))
+    rng = random.Random(17)
+    base = prose(rng, 150).split(" ")
+    many = [(300 + i, " ".join(w if rng.random() > 0.02 else f"e{i}" for w in base)) for i in range(80)] + [(i, prose(rng, 40, 25)) for i in range(100)]
+    many += [many[0]] * 40 + [(None, many[1][1]), (None, None), (7, "")]
+    big = table(spark, many, tmp_path / "d.parquet")
+    want = Counter(brute_linked(many))
+    assert Counter(tuple(r) for r in grouping.linked(big).collect()) == want
+    monkeypatch.setattr(jaccard, "FRAGMENT_GRAMS", 100)  # over 64 fragments
+    assert Counter(tuple(r) for r in grouping.linked(big).collect()) == want
+    assert grouping.linked(empty).count() == 0 and grouping.linked(docs).columns == ["doc_id", "class_id", "links"]
+
+
+def test_sums_give_way_to_memory():
+    rng = np.random.default_rng(2)
+    for most in (0, 50, 10**6):
+        sums, got, want = jaccard._Sums(), Counter(), Counter()
+        for _ in range(20):
+            a, b, n = rng.integers(0, 9, 30), rng.integers(10, 19, 30), rng.integers(1, 5, 30)
+            for x, y, z in zip(a.tolist(), b.tolist(), n.tolist()):
+                want[x, y, x * 100 + y] += z
+            sums.add(a, b, a * 100 + b, n)
+            for r in (r for batch in sums.taken(most) for r in batch.to_pylist()):
+                got[r["sig_a"], r["sig_b"], r["sizes"]] += r["n"]
+        for r in (r for batch in sums.taken(0) for r in batch.to_pylist()):
+            got[r["sig_a"], r["sig_b"], r["sizes"]] += r["n"]
+        assert got == want
+
+
 def test_one_of_each_group(spark, odd, empty):
     docs, _ = odd
     out = grouping.one_of_each_group(docs)
