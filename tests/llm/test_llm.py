@@ -266,13 +266,16 @@ def test_linked(spark, tmp_path, odd, empty, monkeypatch):
 
 def test_sums_give_way_to_memory():
     rng = np.random.default_rng(2)
+    sigs = rng.permutation(1000)[:20] * 7 - 3000
     for most in (0, 50, 10**6):
         sums, got, want = jaccard._Sums(), Counter(), Counter()
         for _ in range(20):
-            a, b, n = rng.integers(0, 9, 30), rng.integers(10, 19, 30), rng.integers(1, 5, 30)
-            for x, y, z in zip(a.tolist(), b.tolist(), n.tolist()):
-                want[x, y, x * 100 + y] += z
-            sums.add(a, b, a * 100 + b, n)
+            own = rng.permutation(20)[:12]
+            numbers = sums.numbers(sigs[own], np.abs(sigs[own]))
+            a, b, n = rng.integers(0, 6, 30), rng.integers(6, 12, 30), rng.integers(1, 5, 30)
+            for x, y, z in zip(sigs[own[a]].tolist(), sigs[own[b]].tolist(), n.tolist()):
+                want[min(x, y), max(x, y), abs(min(x, y)) << 32 | abs(max(x, y))] += z
+            sums.add(numbers[a], numbers[b], n)
             for r in (r for batch in sums.taken(most) for r in batch.to_pylist()):
                 got[r["sig_a"], r["sig_b"], r["sizes"]] += r["n"]
         for r in (r for batch in sums.taken(0) for r in batch.to_pylist()):
