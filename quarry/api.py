@@ -18,7 +18,7 @@ from pyspark.sql.window import Window
 
 from quarry.functions import chunking, vector
 from quarry.functions import text as X
-from quarry.operators import consolidation, extraction, fusion, lexical, store, vectors
+from quarry.operators import consolidation, extraction, fusion, lexical, schema, store, vectors
 from quarry.plans import planner
 from quarry.sources import catalog, files
 
@@ -191,8 +191,7 @@ class Engine:
 
     def extract(self, messages: DataFrame, limit: int = 1000) -> DataFrame:
         """Candidates from messages (conv_id, turn, role, text), with canonical keys."""
-        found = extraction.candidates(messages, limit)
-        return found.withColumn("canonical_key", extraction.canonical_key(F.col("kind"), F.col("segment")))
+        return extraction.described(extraction.candidates(messages, limit))
 
     def ingest(self, candidates: DataFrame, explicit: bool = False) -> DataFrame:
         """Consolidate candidates with the stored memories; returns the memories after it. Those not saved explicitly must be sure and informative enough."""
@@ -227,7 +226,7 @@ class Engine:
         if kind not in extraction.KINDS or status not in extraction.STATUSES:
             raise ConfigurationError(f"unknown kind or status: {kind}, {status}")
         row = self.spark.createDataFrame([(namespace, 0, 0, text.strip(), kind, status, canonical_key, 1.0)], "conv_id long, turn long, seq int, segment string, kind string, status string, canonical_key string, confidence double")
-        key = F.coalesce("canonical_key", extraction.canonical_key(F.col("kind"), F.col("segment")))
+        key = schema.canonical_key(F.col("kind"), F.col("segment"), explicit=F.col("canonical_key"))
         return self.ingest(row.withColumn("canonical_key", key), explicit=True)
 
     def recall(self, mode: str, query: str | None = None, limit: int = 20, kinds: set[str] | None = None, statuses: set[str] | None = frozenset({"active"})) -> DataFrame:

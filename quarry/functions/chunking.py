@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 TARGET_TOKENS, OVERLAP_TOKENS, CHARS = 900, 135, 4
 _DECLARATION = re.compile(r"(interface|def|import|var|let|actor|extension|protocol|enum|struct|class|func) |(internal|private|public) func")
-CODE = sorted("zsh yaml yml ts tsx toml swift sql sh scala rs rb py php mm m kt json jsx js java hpp h go css cs cpp c bash".split(), reverse=True)
+CODE = sorted("zsh yaml yml ts tsx toml swift sql sh scala rs rb py php mm m kt json jsx js java hpp h go css cs cpp c bash".split())
 
 
 def _score(line: str, code: bool) -> int:

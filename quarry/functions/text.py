@@ -5,17 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Word lists are sets; they are kept sorted backwards.
-LEXICAL_STOP_WORDS = sorted(
-    "your you would with why who which where when what we was using use up under too to those this they these there then them their the that than some so should over out our or on of not need most more"
-    " like just its it is into in if how have had from for end each during does do did can by but both between before been be at as are any and an among also all against again after about has".split(),
-    reverse=True,
-)
-SHORT_TERMS = sorted("ux ui slo sli sdk qa id db ci api ai".split(), reverse=True)
-QUERY_STOP_WORDS = sorted(
-    "your you with why who which where when what we was up to this they these there them their the that or our on of its it is into in if how from for does do can by but before been be at as are any and an also all after about".split(),
-    reverse=True,
-)
+#: Word lists are sets; they are kept in alphabetical order.
+LEXICAL_STOP_WORDS = (
+    "about after again against all also among an and any are as at be been before between both but by can did do does during each end for from had has have"
+    " how if in into is it its just like more most need not of on or our out over should so some than that the their them then there these they this those"
+    " to too under up use using was we what when where which who why with would you your"
+).split()
+SHORT_TERMS = "ai api ci db id qa sdk sli slo ui ux".split()
+QUERY_STOP_WORDS = (
+    "about after all also an and any are as at be been before but by can do does for from how if in into is it its of on or our that the their them there"
+    " these they this to up was we what when where which who why with you your"
+).split()
 SPLIT = r"[^\p{L}\p{N}]+"
 #: Accented letters and the plain ones they fold to.
 _ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
@@ -102,6 +102,13 @@ def lines(text: Column) -> Column:
     return F.split(F.regexp_replace(text, r"\r\n?", "\n"), "\n")
 
 
+def windows(items: Column, n: int) -> Column:
+    """All runs of n neighbours of an array, each an array. The items are made once for each of the n places, not for each run."""
+    most = F.greatest(F.size(items) - (n - 1), F.lit(0))
+    zipped = F.arrays_zip(*(F.slice(items, k + 1, most).alias(f"w{k}") for k in range(n)))
+    return F.transform(zipped, lambda z: F.array(*(z[f"w{k}"] for k in range(n))))
+
+
 def line_range(text: Column, start: int, end: int) -> Column:
     """Lines start to end (from 1; reversed bounds are swapped, others clamped)."""
     start, end = min(start, end), max(start, end)
@@ -132,7 +139,23 @@ def coverage(wanted: Column, text: Column) -> Column:
 
 
 def safe_filename(text: Column) -> Column:
-    return F.regexp_replace(F.lower(text), r"[^a-z0-9._-]+", "-")
+    """Letters, digits and '-' stay; other characters become one '_', none at the ends. Empty if nothing is left."""
+    return F.regexp_replace(F.regexp_replace(text, r"[^\p{L}\p{M}\p{N}-]+", "_"), r"^_+|_+$", "")
+
+
+def match_key(text: Column) -> Column:
+    """Folded and lower case, for comparisons with expected texts."""
+    return fold(F.coalesce(text, F.lit("")))
+
+
+def stripped(text: Column) -> Column:
+    """Without white space at the ends."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
+def spaced(text: Column) -> Column:
+    """Runs of white space as one blank, none at the ends."""
+    return F.trim(F.regexp_replace(text, r"\s+", " "))
 
 
 def path_in(path: Column, prefix: Column | str) -> Column:

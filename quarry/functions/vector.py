@@ -111,3 +111,62 @@ def _embedding() -> object:
 def hashed_embedding(text: Column, dim: int = 64) -> Column:
     """Counts of words by the first byte of their SHA-256: a deterministic stand-in for an embedding model."""
     return _embedding()(text, F.lit(dim))
+
+
+# constructors and forms ------------------------------------------------------------------------------------------------
+
+VERSION = "v1"
+
+
+def from_json(text: Column, element: str = "float32") -> Column:
+    """A vector from a JSON array: float32, int8 (from -128 to 127) or bit (0 and 1). Null if the text is none or a value doesn't fit."""
+    numbers = F.from_json(text, "array<double>")
+    whole = F.forall(numbers, lambda x: x.isNotNull() & ~F.isnan(x))
+    if element == "float32":
+        return F.when((F.size(numbers) > 0) & whole, numbers.cast("array<float>"))
+    low, high = (-128, 127) if element == "int8" else (0, 1)
+    return F.when((F.size(numbers) > 0) & whole & F.forall(numbers, lambda x: (x == F.floor(x)) & x.between(low, high)), numbers.cast("array<int>"))
+
+
+def _bytes(blob: Column) -> Column:
+    digits = F.hex(blob)
+    n = F.length(digits) / 2
+    return F.when(n >= 1, F.transform(F.sequence(F.lit(1), n.cast("int")), lambda i: F.conv(F.substring(digits, 2 * i - 1, F.lit(2)), 16, 10).cast("int")))
+
+
+def from_blob(blob: Column, element: str = "float32") -> Column:
+    """A vector from its bytes: little-endian floats, signed bytes, or bits from the lowest of each byte. Null if the size doesn't fit."""
+    octets = _bytes(blob)
+    if element == "int8":
+        return F.transform(octets, lambda b: F.when(b > 127, b - 256).otherwise(b))
+    if element == "bit":
+        return F.flatten(F.transform(octets, lambda b: F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.call_function("shiftright", b, i).bitwiseAND(F.lit(1)))))
+    words = F.transform(F.sequence(F.lit(0), (F.size(octets) / 4 - 1).cast("int")), lambda i: F.get(octets, 4 * i) + 256 * F.get(octets, 4 * i + 1) + 65_536 * F.get(octets, 4 * i + 2) + F.lit(16_777_216).cast("long") * F.get(octets, 4 * i + 3))
+
+    def number(w: Column) -> Column:
+        sign, power, part = F.when(w >= 2_147_483_648, -1.0).otherwise(1.0), F.call_function("shiftright", w, F.lit(23)).bitwiseAND(F.lit(255)), w.bitwiseAND(F.lit(8_388_607))
+        value = F.when(power == 0, part * F.lit(2.0**-149)).otherwise((part + 8_388_608) * F.pow(F.lit(2.0), power - 150))
+        return (sign * value).cast("float")
+
+    return F.when((F.size(octets) > 0) & (F.size(octets) % 4 == 0), F.transform(words, number))
+
+
+def to_json(v: Column) -> Column:
+    """A JSON array with six decimals, as numbers of a fixed form; whole numbers as they are."""
+    return F.concat(F.lit("["), F.array_join(F.transform(v, lambda x: F.format_string("%.6f", x.cast("double"))), ","), F.lit("]"))
+
+
+def whole_to_json(v: Column) -> Column:
+    return F.concat(F.lit("["), F.array_join(F.transform(v, lambda x: x.cast("string")), ","), F.lit("]"))
+
+
+def kind_of(data_type: str, packed: bool = False) -> str:
+    """The element type of a column of vectors, by its Spark type (packed: of bits)."""
+    return "bit" if packed else "float32" if "float" in data_type or "double" in data_type else "int8"
+
+
+def weighted_mean_pooled(vectors: Column, weights: Column, dim: int) -> Column:
+    """Element-wise mean of an array of vectors by weights; the plain mean if they sum to 0."""
+    total = F.aggregate(weights, F.lit(0.0), lambda s, w: s + w)
+    mean = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.aggregate(F.zip_with(vectors, weights, lambda v, w: F.get(doubles(v), i) * w), F.lit(0.0), lambda s, x: s + x) / total)
+    return F.when(total > 0, mean).otherwise(mean_pooled(vectors, dim))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quarry.functions import text as X
+
 
 def recall_at(retrieved: DataFrame, relevant: DataFrame, ks: list[int]) -> DataFrame:
     """k, hit, recall, mrr, ndcg: means over the queries of relevant. retrieved: qid, doc_id, rank; relevant: qid, doc_id."""
@@ -137,3 +139,32 @@ def mean_ndcg_retrieved(retrieved: DataFrame, relevant: DataFrame, k: int) -> Da
     hits = retrieved.where(F.col("rank") <= k).join(relevant.select("qid", "doc_id").distinct(), ["qid", "doc_id"], "left_semi").groupBy("qid").agg(F.sum(1 / F.log2(F.col("rank") + F.lit(1.0))).alias("dcg"), F.count("*").alias("n"))
     ideal = F.aggregate(F.sequence(F.lit(1), F.col("n").cast("int")), F.lit(0.0), lambda s, x: s + 1 / F.log2(x + F.lit(1.0)))
     return relevant.select("qid").distinct().join(hits.select("qid", (F.col("dcg") / ideal).alias("v")), "qid", "left").agg(F.round(F.avg(F.coalesce("v", F.lit(0.0))), 6).alias("ndcg"))
+
+
+# text tools of dataset builders ------------------------------------------------------------------------------------------
+
+
+def tokens(text: Column) -> Column:
+    """Words of three letters that are no stop words, with repeats."""
+    return F.filter(X.words(text), lambda w: (F.length(w) >= 3) & ~w.isin(X.QUERY_STOP_WORDS))
+
+
+def phrase_candidates(text: Column, most: int = 6) -> Column:
+    """The first phrases of three, then of two different tokens."""
+    phrases = lambda n: F.transform(F.filter(X.windows(tokens(text), n), lambda w: F.size(F.array_distinct(w)) == n), lambda w: F.array_join(w, " "))
+    return F.slice(F.array_distinct(F.concat(phrases(3), phrases(2))), 1, most)
+
+
+def lexical_similarity(query: Column, document: Column, relevant: Column) -> Column:
+    """Of arrays of tokens: overlaps of the document with the query and with relevant texts, by the root of its size."""
+    q, d, r = (F.array_distinct(c) for c in (query, document, relevant))
+    score = (3.0 * F.size(F.array_intersect(q, d)) + 0.25 * F.size(F.array_intersect(r, d))) / F.sqrt(F.greatest(F.lit(1), F.size(d)))
+    return F.when((F.size(q) > 0) & (F.size(d) > 0), score).otherwise(0.0)
+
+
+def best_sentence(text: Column, query: Column, limit: int = 120) -> Column:
+    """The first of the sentences that share most tokens with the query, cut at a word's end."""
+    sentences = F.filter(F.transform(F.split(X.spaced(F.coalesce(text, F.lit(""))), r"(?<=[.!?])\s+"), F.trim), lambda s: s != "")
+    scored = F.transform(sentences, lambda s, i: F.struct(F.size(F.array_intersect(query, F.array_distinct(tokens(s)))).alias("n"), (-i).alias("i"), s.alias("s")))
+    best = F.coalesce(F.array_max(scored)["s"], F.lit(""))
+    return F.when(F.length(best) <= limit, best).otherwise(F.regexp_replace(F.substring(best, 1, limit), " [^ ]*$", ""))

@@ -9,11 +9,10 @@ from pyspark.sql.window import Window
 from quarry.functions import text as X
 
 K = 60.0
-TIME_WORDS = sorted(
-    "valentine's|valentine|past month|past two months|most recent|recently|order of|latest|earliest|first|between|after|before|kick-off|kickoff|milestone|scheduled|schedule|dates|date|chronological|chronology|timeline|when|tomorrow|yesterday|today"
-    "|december|dec|november|nov|october|oct|september|sept|sep|august|aug|july|jul|june|jun|may|april|apr|march|mar|february|feb|january|jan".split("|"),
-    reverse=True,
-)
+TIME_WORDS = (
+    "after|apr|april|aug|august|before|between|chronological|chronology|date|dates|dec|december|earliest|feb|february|first|jan|january|jul|july|jun|june|kick-off|kickoff"
+    "|latest|mar|march|may|milestone|most recent|nov|november|oct|october|order of|past month|past two months|recently|schedule|scheduled|sep|sept|september|timeline|today|tomorrow|valentine|valentine's|when|yesterday"
+).split("|")
 
 
 def contains_any(text: Column, needles: list[str]) -> Column:
@@ -49,8 +48,27 @@ def preservation(hits: DataFrame, base: Column, weight: float = 2.0, rank_limit:
     return hits.where(F.col("rank") <= rank_limit).groupBy("qid", "chunk_id").agg(F.max(weight * base / F.sqrt("rank")).alias("score"))
 
 
+#: Cues of questions about times and numbers, of those that several documents answer, of broad recall.
+AGGREGATE_CUES = ["as of", "count", "days passed", "first", "from earliest to latest", "how many", "how much", "last time", "most recently", "order of", "what month", "when did", "which date"]
+SUPPORT_CUES = sorted("average|combined|different|from first to last|how many|how much|in total|including|order of|total|typical week|after the|before the|day before|days before|earliest to latest|first to last|last week|past month|past few months|past two months".split("|"))
+SUPPORT_NUMBERS = r"\b(which|what|the|my)\s+(two|three|four|five|six)\b"
+RECALL_CUES = sorted("find|how|look up|recall|remember|search|show me|tell me|what|when|where|which|who".split("|"))
+
+
 def temporal_or_aggregate(query: Column) -> Column:
-    return time_anchored(query) | contains_any(F.lower(query), ["total", "how much", "how many", "count of", "average"])
+    return time_anchored(query) | contains_any(F.lower(query), AGGREGATE_CUES)
+
+
+def needs_several(query: Column) -> Column:
+    """Whether a question needs the evidence of several documents."""
+    low = F.lower(query)
+    return contains_any(low, SUPPORT_CUES) | low.rlike(SUPPORT_NUMBERS)
+
+
+def broad_recall(query: Column) -> Column:
+    """Short queries that begin with a question word; longer ones that ask, or have eight words."""
+    low, n = F.lower(query), F.size(F.filter(F.split(X.comparison_key(query), " "), lambda w: w != ""))
+    return F.when(n < 5, low.rlike("^(what|when|where|which|who|how) ")).otherwise(F.contains(low, F.lit("?")) | contains_any(low, RECALL_CUES) | (n >= 8))
 
 
 def preservation_base(query: Column, semantic: bool) -> Column:
@@ -130,17 +148,35 @@ def by_rank(df: DataFrame, score: str, limit: int | None = None, name: str = "ra
     return out.where(F.col(name) <= limit) if limit else out
 
 
-def preselected(scores: DataFrame, signals: list[str], protect: int, limit: int) -> DataFrame:
-    """Candidates kept for hydration: the first `protect` by each signal, then by the sum of all up to `limit`."""
-    for s in signals:
-        scores = scores.withColumn(f"_{s}", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc(F.round(F.coalesce(s, F.lit(0.0)), 9)), "chunk_id")))
-    guarded = None
-    for s in signals:
-        one = (F.col(f"_{s}") <= protect) & (F.coalesce(s, F.lit(0.0)) > 0)
-        guarded = one if guarded is None else guarded | one
-    total = sum((F.coalesce(s, F.lit(0.0)) for s in signals), F.lit(0.0))
-    w = Window.partitionBy("qid").orderBy(F.desc("guarded"), F.desc(F.round("total", 9)), "chunk_id")
-    return scores.withColumn("guarded", guarded).withColumn("total", total).withColumn("place", F.row_number().over(w)).where(F.col("guarded") | (F.col("place") <= limit)).drop(*(f"_{s}" for s in signals), "place")
+def hydration_limit(limit: int, rerank: int, pool: int) -> int:
+    """How many candidates have their texts read."""
+    return pool if rerank == 0 else min(1000, max(pool, -(-3 * max(limit, rerank) // 2), 200))
+
+
+def protection_limit(limit: int, hydration: int) -> int:
+    """How many of each signal's best are among them in any case."""
+    return min(max(40, limit // 2), max(1, hydration // 3))
+
+
+#: Score columns of a candidate, in the order in which their best are protected.
+SIGNALS = ["semantic", "lexical", "promotion", "primary_semantic", "primary_lexical"]
+
+
+def preselected(scores: DataFrame, protect: int, limit: int) -> DataFrame:
+    """Candidates whose texts are read: those protected by any of SIGNALS, one signal after the other while there is room, then by preliminary score, `limit` at most of a query.
+
+    scores: qid, query, chunk_id and SIGNALS (null: the branch has not found it). Adds preliminary.
+    """
+    c = {s: F.coalesce(s, F.lit(0.0)) for s in SIGNALS}
+    ws, wl, _ = fusion_weights(F.col("query"))
+    scores = scores.withColumn("preliminary", ws * (c["semantic"] + c["primary_semantic"]) + wl * (c["lexical"] + c["promotion"] + c["primary_lexical"]))
+    turn = F.lit(None).cast("int")
+    for i, s in reversed(list(enumerate(SIGNALS))):
+        scores = scores.withColumn(f"_{s}", F.row_number().over(Window.partitionBy("qid").orderBy(F.col(s).isNull(), F.desc(F.round(s, 9)), "chunk_id")))
+        turn = F.when(F.col(s).isNotNull() & (F.col(f"_{s}") <= protect), i * protect + F.col(f"_{s}")).otherwise(turn)
+    w = Window.partitionBy("qid").orderBy(F.col("_turn").isNull(), "_turn", F.desc(F.round("preliminary", 9)), "chunk_id")
+    kept = scores.withColumn("_turn", turn).withColumn("_place", F.row_number().over(w)).where(F.col("_place") <= limit)
+    return kept.drop("_turn", "_place", *(f"_{s}" for s in SIGNALS))
 
 
 def overlap_rerank(query: Column, title: Column, content: Column) -> Column:
@@ -153,12 +189,12 @@ def overlap_rerank(query: Column, title: Column, content: Column) -> Column:
 
 
 def blended(ranked: DataFrame, limit: int) -> DataFrame:
-    """fused_norm and blended of rows with fused, rank and rerank (null beyond the reranked ones): the fused part weighs .75, .60 or .40 by rank."""
+    """fused_norm and blended of rows with fused, rank and rerank (null beyond the reranked ones): the fused part weighs .75, .60 or .40 by rank. Without a rerank score, blended is fused."""
     best = F.max("fused").over(Window.partitionBy("qid"))
     norm = F.when(best > 0, F.col("fused") / best).otherwise(0.0)
     fw = F.when(F.col("rank") <= 3, 0.75).when(F.col("rank") <= 10, 0.60).otherwise(0.40)
     clamped = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("rerank")))
-    out = ranked.withColumn("fused_norm", norm).withColumn("blended", F.when((F.col("rank") <= limit) & F.col("rerank").isNotNull(), fw * norm + (1 - fw) * clamped).otherwise(norm))
+    out = ranked.withColumn("fused_norm", F.least(F.lit(1.0), F.greatest(F.lit(0.0), norm))).withColumn("blended", F.when((F.col("rank") <= limit) & F.col("rerank").isNotNull(), fw * F.col("fused_norm") + (1 - fw) * clamped).otherwise(F.col("fused")))
     w = Window.partitionBy("qid").orderBy(F.desc(F.round("blended", 9)), F.desc(F.round("fused", 9)), "chunk_id")
     return out.withColumn("final_rank", F.row_number().over(w))
 
@@ -175,62 +211,119 @@ def strong_signal(hits: DataFrame, query_tokens: Column) -> DataFrame:
     return top.withColumn("strong", (F.col("n_tokens") <= 12) & (F.col("top") >= 0.10) & (F.col("top") - F.col("next") >= 0.05))
 
 
-def protected(ranked: DataFrame, limit: int, explicit: int | None = None, ratio: float = 0.55) -> DataFrame:
-    """Swap documents that the primary branch found into the tail of the first `limit`.
+def skip_semantic(strong: Column, hits: Column, limit: int, scope: Column) -> Column:
+    """Whether a search below a path can do without vectors: a strong signal with enough lexical hits, or lexical hits for the whole scope."""
+    return (hits > 0) & ((strong & (hits >= min(limit, 8))) | (hits >= F.greatest(F.lit(8), F.least(F.lit(limit), scope, F.lit(24)))))
+
+
+DOCUMENT_WEIGHTS = (0.45, 0.60)
+
 
-    ranked: qid, chunk_id, path, blended, fused, primary (preservation score, 0 without), final_rank. At most 1,000 rows
-    of a query are looked at, as the sequence of swaps is by query.
+def document_branches(branches: DataFrame, lexical_limit: int, limit: int) -> DataFrame:
+    """Branches that also search whole documents, two of a query at most, with their limit and weight.
+
+    branches: qid, branch (0 is the query itself), kind, weight, text, hits (of its lexical search), strong.
+    """
+    first = F.col("branch") == 0
+    open_ = ~F.col("strong") & (F.lit(lexical_limit) >= 32) & (F.col("hits") < 12) & F.when(first, broad_recall(F.col("text"))).otherwise(F.col("kind") == "lexical")
+    used = F.row_number().over(Window.partitionBy("qid").orderBy("branch"))
+    most = F.when(first, min(lexical_limit, min(96, max(24, 4 * limit)))).otherwise(min(lexical_limit, min(96, max(24, 3 * limit))))
+    return branches.where(open_).withColumn("used", used).where("used <= 2").drop("used").withColumn("document_limit", most).withColumn("document_weight", F.col("weight") * F.when(first, DOCUMENT_WEIGHTS[0]).otherwise(DOCUMENT_WEIGHTS[1]))
+
+
+def protected(ranked: DataFrame, limit: int, explicit: int | None = None) -> DataFrame:
+    """The first `limit` rows of each query, with documents that the primary branch found swapped into their tail.
+
+    ranked: qid, query, chunk_id, path, blended, fused, primary (sum of the preservation scores), final_rank; as many
+    rows of a query as its pool has. A document goes in for the last one that isn't protected and that it comes up to:
+    .75 of its blended or fused score, .55 for questions about times and numbers. Swaps depend on those before, so each
+    query's rows are walked through in Python.
     """
     import pandas as pd
 
-    most = explicit or min(limit, min(5, max(1, limit // 2)))
-    schema = "qid long, chunk_id long, path string, blended double, fused double, primary double, final_rank int"
+    most = min(limit, explicit) if explicit is not None else min(limit, min(5, max(1, limit // 2))) if limit > 1 else 0
+    schema = "qid long, chunk_id long, path string, blended double, fused double, primary double, ratio double, final_rank int"
 
     def swap(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["final_rank", "chunk_id"]).reset_index(drop=True)
         best = rows[rows.primary > 0].sort_values(["primary", "final_rank"], ascending=[False, True]).drop_duplicates("path").head(most)
-        wanted, top = set(best.path), list(rows.index[:limit])
+        guarded, top = set(best.path), list(rows.index[:limit])
         for i, row in best.iterrows():
             if row.path in {rows.path[j] for j in top}:
                 continue
             for at in reversed(range(len(top))):
                 old = rows.loc[top[at]]
-                if old.path in wanted:
-                    continue
-                if explicit or old.blended <= 0 or max(row.blended, row.fused) >= ratio * old.blended:
+                if old.path not in guarded and (explicit is not None or old.blended <= 0 or row.blended >= row.ratio * old.blended or row.fused >= row.ratio * old.fused):
                     top[at] = i
                     break
-        top = sorted(top, key=lambda j: (-rows.blended[j], -rows.fused[j], rows.chunk_id[j]))
-        out = rows.loc[top + [j for j in rows.index if j not in set(top)]].copy()
+        out = rows.loc[sorted(top)].copy()
         out["final_rank"] = range(1, len(out) + 1)
         return out
 
-    rows = ranked.where("final_rank <= 1000").select("qid", "chunk_id", "path", "blended", "fused", "primary", F.col("final_rank").cast("int").alias("final_rank"))
-    return rows.groupBy("qid").applyInPandas(swap, schema)
+    rows = ranked.withColumn("ratio", F.when(temporal_or_aggregate(F.col("query")), 0.55).otherwise(0.75))
+    return rows.select("qid", "chunk_id", "path", "blended", "fused", "primary", "ratio", F.col("final_rank").cast("int").alias("final_rank")).groupBy("qid").applyInPandas(swap, schema).drop("ratio")
 
 
 def group_key(path: Column) -> Column:
-    """File stem without a trailing number (and _abs before it): files of one series share it."""
-    stem = F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"\.[^.]*$", "")
-    return F.regexp_replace(stem, r"(_abs)?_\d+$", "")
+    """Folder and file stem without a trailing number (and _abs before it), which files of one series share; null for other files and for memories."""
+    low = F.regexp_replace(X.fold(path), r"\\", "/")
+    stem = F.regexp_replace(low, r"\.[a-z0-9]+$", "")
+    name = F.element_at(F.split(stem, "/"), -1)
+    series = F.regexp_replace(name, r"(_abs)?_\d+$", "")
+    return F.when(~F.startswith(low, F.lit("memory://")) & (series != name) & F.contains(series, F.lit("_")), F.regexp_replace(stem, r"(_abs)?_\d+$", ""))
+
 
+def support(lexical: Column, semantic: Column, bonuses: Column, rank: Column) -> Column:
+    return F.greatest(lexical, semantic) + 0.45 * F.least(lexical, semantic) + bonuses + 0.02 / F.sqrt(rank)
 
-def multi_evidence(ranked: DataFrame, limit: int, anchors: int = 2, continuations: int = 3, per_group: int = 3) -> DataFrame:
-    """Order for questions that need several documents: two anchors, then best siblings of their groups, then by support.
 
-    ranked: qid, chunk_id, path, final_rank, support.
+def multi_evidence(ranked: DataFrame, limit: int) -> DataFrame:
+    """new_rank for questions that need several documents: two anchors, the best later sibling of up to three groups, then by support; at last up to three siblings take the places of weak rows.
+
+    ranked: qid, query, chunk_id, path, final_rank, support; one row of a document, at most as many as a search returns.
+    Other questions, and those with up to ten rows, keep their order.
     """
-    w = Window.partitionBy("qid")
-    rows = ranked.withColumn("group", group_key(F.col("path"))).withColumn("median", F.element_at(F.array_sort(F.collect_list("support").over(w)), (F.count("*").over(w) / 2).cast("int") + 1))
-    top_groups = F.array_distinct(F.collect_list(F.when(F.col("final_rank") <= limit, F.col("group"))).over(w))
-    rows = rows.withColumn("sibling", F.array_contains(top_groups, F.col("group")) & (F.col("final_rank") > anchors) & (F.col("final_rank") <= 30))
-    first = F.row_number().over(Window.partitionBy("qid", "group", "sibling").orderBy(F.desc("support"), "final_rank"))
-    rows = rows.withColumn("nth", first).withColumn("lead", F.col("sibling") & (F.col("nth") == 1))
-    rows = rows.withColumn("lead_no", F.sum(F.col("lead").cast("int")).over(Window.partitionBy("qid").orderBy(F.desc("lead"), F.desc("support"), "final_rank")))
-    fill = (F.col("final_rank") <= 30) | (F.col("support") >= 0.55 * F.col("median"))
-    tier = F.when(F.col("final_rank") <= anchors, 0).when(F.col("lead") & (F.col("lead_no") <= continuations), 1).when(fill & (F.col("nth") <= per_group), 2).otherwise(3)
-    order = Window.partitionBy("qid").orderBy("tier", F.when(F.col("tier").isin(0, 3), F.col("final_rank")).otherwise(0), F.desc("support"), "final_rank")
-    return rows.withColumn("tier", tier).withColumn("new_rank", F.row_number().over(order)).select("qid", "chunk_id", "path", "final_rank", "support", "tier", "new_rank")
+    import pandas as pd
+
+    def order(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("final_rank").reset_index(drop=True)
+        window = min(10, limit, len(rows))
+        out = list(rows.index)
+        if rows.several[0] and len(rows) > 10 and limit > 1 and window >= 4:
+            out = _evidence_order(rows.support.tolist(), [g or None for g in rows.group.tolist()], window)
+        rows = rows.loc[out]
+        return rows.assign(new_rank=range(1, len(rows) + 1)).drop(columns=["several", "group"])
+
+    rows = ranked.select("qid", "chunk_id", "path", F.col("final_rank").cast("int").alias("final_rank"), "support", needs_several(F.col("query")).alias("several"), F.coalesce(group_key(F.col("path")), F.lit("")).alias("group"))
+    return rows.groupBy("qid").applyInPandas(order, "qid long, chunk_id long, path string, final_rank int, support double, new_rank int")
+
+
+def _evidence_order(support_: list[float], group: list[str | None], window: int) -> list[int]:
+    """Places of the rows (place i has document rank i + 1) in their new order."""
+    pool = range(min(len(support_), max(50, window * 5)))
+    median = sorted(support_[:window])[window // 2]
+    later = lambda i: (-(support_[i] + 0.08 / (i + 1) ** 0.5), i)
+    chosen, led = list(range(min(2, window))), set()
+    known = {g for g in group[:window] if g}
+    for i in sorted((i for i in pool[window:] if i < 30 and group[i] in known), key=later):
+        if len(chosen) < window and len(led) < min(3, max(1, window - 2)) and group[i] not in led:
+            led.add(group[i])
+            chosen.append(i)
+    chosen += [i for i in sorted((i for i in pool[2:] if i < 30 or support_[i] >= 0.55 * median), key=lambda i: (-support_[i], i)) if i not in chosen][: window - len(chosen)]
+    chosen += [i for i in pool if i not in chosen][: window - len(chosen)]
+    count = {g: sum(group[i] == g for i in chosen) for g in {group[i] for i in chosen} - {None}}
+    open_ = sorted((i for i in pool[window:] if i < 60 and group[i] in count and i not in chosen and support_[i] >= max(0.04, 0.08 * median)), key=later)
+    swaps = 0
+    for i in open_ if len(chosen) >= window else []:
+        weak = [at for at in range(2, len(chosen)) if group[chosen[at]] is None or (group[chosen[at]] != group[i] and count[group[chosen[at]]] > 1)]
+        if swaps < 3 and count[group[i]] < 3 and weak:
+            at = min(weak, key=lambda at: (support_[chosen[at]], -at))
+            if group[chosen[at]]:
+                count[group[chosen[at]]] -= 1
+            chosen[at] = i
+            count[group[i]] += 1
+            swaps += 1
+    return chosen + [i for i in range(len(support_)) if i not in chosen]
 
 
 def oracle_order(ranked: DataFrame) -> DataFrame:

@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quarry.functions import chunking, vector
 from quarry.functions import text as X
-from quarry.operators import consolidation, evaluation, extraction, fusion, lexical, store, vectors
+from quarry.operators import consolidation, evaluation, extraction, fusion, lexical, schema, store, vectors
 from quarry.streaming import flows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -279,7 +280,7 @@ def scored_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _CUES = "|".join(w.replace("'", "''") for w in fusion.TIME_WORDS)
 _ANCHORED = lambda t: rf"(regexp_matches(lower({t}), '{_CUES}') OR regexp_matches(lower({t}), '\b(19|20)\d{{2}}\b') OR regexp_matches(lower({t}), '\b\d{{1,2}}[/-]\d{{1,2}}\b'))"
-_AGGREGATE = lambda t: rf"({_ANCHORED(t)} OR regexp_matches(lower({t}), 'total|how much|how many|count of|average'))"
+_AGGREGATE = lambda t: rf"({_ANCHORED(t)} OR regexp_matches(lower({t}), '{'|'.join(fusion.AGGREGATE_CUES)}'))"
 
 
 @query(f"WITH {_LEX} SELECT sr.qid, chunk_id, round(2.0 * CASE WHEN {_AGGREGATE('text')} THEN 0.36 ELSE 0.05 END / sqrt(rank), 6) AS score FROM sr JOIN benchmark ON item_id = sr.qid WHERE rank <= 10")
@@ -288,13 +289,19 @@ def preservation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fusion.preservation(hits, fusion.preservation_base(F.col("text"), semantic=False)).withColumn("score", F.round("score", 6))
 
 
+_OVERLAP = lambda a, b: f"len(list_intersect(list_distinct({words_sql(a)}), {words_sql(b)})) / len(list_distinct({words_sql(a)}))"
+
+
 @query(
-    rf"""WITH {_LEX}, e AS (SELECT qid, qtext, array_to_string(an[1:3], ' ') AS x FROM qa), h AS (SELECT sr.qid, chunk_id, rank, x, qtext, {_AGGREGATE("qtext")} AS temporal FROM sr JOIN e ON e.qid = sr.qid WHERE rank <= 20)
-SELECT qid, chunk_id, round(0.24 / sqrt(rank), 6) AS score FROM h WHERE temporal AND rank <= 2"""
+    rf"""WITH {_LEX}, n AS (SELECT qid, qtext, an, lead(an, 1, an) OVER (ORDER BY qid) AS other FROM qa), e AS (SELECT qid, qtext, array_to_string(unnest([an[1:3], other[1:3]]), ' ') AS x FROM n),
+h AS (SELECT sr.qid, chunk_id, rank, {_AGGREGATE("qtext")} AS temporal, len({words_sql("x")}) <= 5 AND {_OVERLAP("x", "qtext")} <= 0.35 AS concise FROM sr JOIN e ON e.qid = sr.qid WHERE rank <= 20)
+SELECT qid, chunk_id, round(max(CASE WHEN concise THEN 0.75 ELSE 0.24 END / sqrt(rank)), 6) AS score FROM h WHERE (concise OR temporal) AND rank <= CASE WHEN temporal THEN 2 ELSE 1 END GROUP BY ALL"""
 )
 def promotion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The expansion is the query's first anchors, so it overlaps the query wholly and only temporal queries promote."""
-    expanded = _benchmark(spark, sf_dir).select("qid", F.array_join(F.slice(X.anchors(F.col("text")), 1, 3), " ").alias("text"), F.col("text").alias("primary"))
+    """Two expansions: the query's own first anchors, which overlap it wholly, and those of the next item."""
+    rows = _benchmark(spark, sf_dir).withColumn("an", X.anchors(F.col("text"), 1 << 20))
+    other = F.lead("an", 1).over(Window.orderBy("qid"))  # the items of a benchmark are few
+    expanded = rows.withColumn("other", F.coalesce(other, F.col("an"))).select("qid", F.explode(F.array("an", "other")).alias("x"), F.col("text").alias("primary")).select("qid", F.array_join(F.slice("x", 1, 3), " ").alias("text"), "primary")
     return fusion.promotion(_lexical_hits(spark, sf_dir).join(expanded, "qid")).withColumn("score", F.round("score", 6))
 
 
@@ -332,7 +339,7 @@ _OWN = lambda t: f"list_filter(list_distinct(list_filter({words_sql(t)}, lambda
 @query(
     rf"""WITH {_FUSED}, o AS (SELECT *, {_OWN("qtext")} AS q, {_OWN("content[1:300] || ' ' || content[1:240]")} AS c, contains(lower(content[1:300] || ' ' || content[1:240]), lower(qtext)) AS ph FROM fr WHERE rank <= 20),
 s AS (SELECT *, CASE WHEN len(q) > 0 THEN least(1.0, len(list_intersect(q, c)) / len(q) + CASE WHEN ph THEN 0.2 ELSE 0 END) ELSE 0 END AS rerank, fused / max(fused) OVER (PARTITION BY qid) AS norm FROM o),
-b AS (SELECT *, CASE WHEN rank <= 10 THEN CASE WHEN rank <= 3 THEN 0.75 ELSE 0.60 END * norm + (1 - CASE WHEN rank <= 3 THEN 0.75 ELSE 0.60 END) * rerank ELSE norm END AS blended FROM s)
+b AS (SELECT *, CASE WHEN rank <= 10 THEN CASE WHEN rank <= 3 THEN 0.75 ELSE 0.60 END * norm + (1 - CASE WHEN rank <= 3 THEN 0.75 ELSE 0.60 END) * rerank ELSE fused END AS blended FROM s)
 SELECT qid, chunk_id, round(rerank, 6) AS rerank, round(blended, 6) AS blended, row_number() OVER (PARTITION BY qid ORDER BY round(blended, 9) DESC, round(fused, 9) DESC, chunk_id) AS final_rank FROM b"""
 )
 def rerank_overlap_blend(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -342,14 +349,19 @@ def rerank_overlap_blend(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def primary_protection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = fusion.blended(_fused(spark, sf_dir).withColumn("rerank", F.lit(None).cast("double")), 10).withColumn("primary", F.when(F.col("lexical") > 0, F.col("lexical")).otherwise(0.0))
-    return fusion.protected(rows, 10).select("qid", "chunk_id", "path", "final_rank")
+    """Without SQL, as the swaps depend on those before; tests/test_fusion.py has them by definition."""
+    hits = lambda h, semantic: fusion.preservation(h.join(_benchmark(spark, sf_dir), "qid"), fusion.preservation_base(F.col("text"), semantic))
+    primary = hits(_lexical_hits(spark, sf_dir), False).unionByName(hits(_semantic(spark, sf_dir), True)).groupBy("qid", "chunk_id").agg(F.sum("score").alias("primary"))
+    rows = fusion.blended(_fused(spark, sf_dir).withColumn("rerank", F.lit(None).cast("double")), 10)
+    return fusion.protected(rows.join(primary, ["qid", "chunk_id"], "left").na.fill(0.0, ["primary"]), 10).select("qid", "chunk_id", "path", "final_rank")
 
 
 @query()
 def multi_evidence_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _fused(spark, sf_dir).withColumn("support", F.greatest("lexical", "semantic") + 0.45 * F.least("lexical", "semantic") + 0.02 / F.sqrt("rank"))
-    return fusion.multi_evidence(rows.withColumn("path", F.concat("source", F.lit("_"), F.col("chunk_id").cast("string"), F.lit(".md"))).withColumnRenamed("rank", "final_rank"), 10).withColumn("support", F.round("support", 6))
+    """Without SQL, as the order depends on what was chosen before; tests/test_fusion.py has it by definition."""
+    rows = _fused(spark, sf_dir).withColumn("support", fusion.support(F.col("lexical"), F.col("semantic"), F.lit(0.0), F.col("rank")))
+    rows = rows.withColumn("path", F.concat(F.lit("notes/"), F.col("source"), F.lit("_of_"), F.col("source"), F.lit("_"), F.col("chunk_id").cast("string"), F.lit(".md"))).withColumn("query", F.concat("query", F.lit(" in total")))
+    return fusion.multi_evidence(rows.withColumnRenamed("rank", "final_rank"), 10).withColumn("support", F.round("support", 6))
 
 
 @query(f"WITH {_FUSED}, d AS (SELECT qid, chunk_id, source, rank, row_number() OVER (PARTITION BY qid, source ORDER BY rank, chunk_id) AS k FROM fr JOIN documents ON doc_id = chunk_id) SELECT qid, source AS path, chunk_id, row_number() OVER (PARTITION BY qid ORDER BY rank, chunk_id) AS doc_rank FROM d WHERE k = 1")
@@ -491,18 +503,68 @@ def extract_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("conv_id", "turn", F.col("seq").cast("long").alias("seq"), "kind", F.col("importance").cast("double").alias("importance"), F.col("confidence").cast("double").alias("confidence"), "action")
 
 
-@query()
+def _phrases(env: str, phrases: list[str]) -> str:
+    return f"regexp_matches({env}, ' ({'|'.join(phrases)}) ')"
+
+
+def _label(env: str, label: str) -> str:
+    found = [schema._key(p) for p, _, of, _ in schema.GAZETTEER if of == label]
+    return _phrases(env, found) if found else "false"
+
+
+def _facet_rules() -> dict[str, str]:
+    rules = {name: _phrases("env", cues) for name, cues in schema.CUES.items()}
+    text = lambda p: f"regexp_matches(segment, '{p.replace(chr(39), chr(39) * 2)}')"
+    rules["preference"] += f" OR (kind = 'profile' AND {_phrases('env', ['avoid'])})"
+    rules["project"] += f" OR ({_label('env', 'project')} AND (kind = 'decision' OR {_phrases('env', schema.PROJECT_CONTEXT)}))"
+    rules["tool"] += f" OR {_label('env', 'tool')}"
+    rules["location"] += f" OR {_label('env', 'location')}"
+    rules["time_sensitive"] += f" OR (kind = 'commitment' AND {_phrases('env', ['need to', 'todo'])} AND ({_phrases('env', schema.DUE)} OR {text(schema.DUE_PATTERN)}))"
+    rules["constraint"] += f" OR (kind = 'decision' AND ({_phrases('env', ['hot path', 'skip'])} OR ({_phrases('env', ['apple intelligence'])} AND {_phrases('env', ['experimental flag'])})))"
+    rules["relationship"] = f"(kind IN ('profile', 'episode', 'handoff') AND ({_phrases('env', ['closely with'])} OR {text(schema.WITH_PATTERN)}))"
+    rules["person"] = f"{rules['relationship']} OR (kind = 'handoff' AND {_phrases('env', ['next person'])}) OR (kind = 'episode' AND ({_label('env', 'person')} OR {text(schema.MET_PATTERN)} OR {text(schema.SAID_PATTERN)}))"
+    return rules
+
+
+_FACETS = "[" + ", ".join(f"CASE WHEN {rule} THEN '{name}' END" for name, rule in _facet_rules().items()) + ", CASE kind " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in schema.KIND_FACETS.items()) + " END]"
+_EDGE = r"[\s.,:;!?()\[\]{}\"''`]+"
+_TOPIC_KEY = lambda t: rf"array_to_string(list_filter(string_split_regex(lower(regexp_replace({t}, '^{_EDGE}|{_EDGE}$', '', 'g')), '\s+'), lambda w: w <> '')[1:4], ' ')"
+_GRAMS = lambda n: f"list_filter(list_transform(range(1, len(tw) - {n - 2}), lambda i: {_TOPIC_KEY(f'array_to_string(tw[i:i + {n - 1}], chr(32))')}), lambda t: t NOT IN ({_quoted(schema.GENERIC_TOPICS)}))"
+_KNOWN_TOPICS = "list_filter([" + ", ".join("CASE WHEN " + " AND ".join(f"contains(env, ' {schema._key(p)} ')" for p in phrases) + f" THEN '{topic}' END" for topic, phrases in schema.TOPICS) + "], lambda t: t IS NOT NULL)"
+_ONE = lambda l: f"list_filter({l}, lambda x, i: list_position({l}, x) = i)"
+_PARTS = lambda t: rf"list_filter(string_split_regex(lower({t}), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '')"
+_SCHEMA = rf"""c0 AS (SELECT conv_id, turn, seq, segment, kind, ' ' || array_to_string(list_filter(string_split_regex({_FOLDED}, '[^\p{{L}}\p{{N}}]+'), lambda x: x <> ''), ' ') || ' ' AS env,
+list_filter(string_split_regex(lower(segment), '[^\p{{L}}\p{{N}}+./-]+'), lambda w: length(w) >= 3 AND w NOT IN ({_quoted(X.QUERY_STOP_WORDS)})) AS tw, list_filter({words_sql("segment")}, lambda w: length(w) >= 4 AND w NOT IN ({_quoted(X.QUERY_STOP_WORDS)})) AS sw FROM sp WHERE reason IS NULL),
+c1 AS (SELECT *, {_ONE("sw")}[1:6] AS tags, list_filter(list_concat({_KNOWN_TOPICS}, {_GRAMS(2)}, {_GRAMS(4)}, {_GRAMS(3)}), lambda t: t <> '') AS tp FROM c0),
+c2 AS (SELECT *, list_concat(tp, list_filter(list_transform(tags, lambda t: {_TOPIC_KEY("t")}), lambda t: t <> '')) AS ta FROM c1),
+c3 AS (SELECT *, {_ONE("ta")}[1:16] AS topics, list_sort(list_distinct(list_filter({_FACETS}, lambda f: f IS NOT NULL))) AS facets FROM c2),
+c4 AS (SELECT *, list_filter(topics, lambda v: len(list_filter({_PARTS("v")}, lambda w: w NOT IN ({_quoted(schema.GENERIC_SIGNALS + X.QUERY_STOP_WORDS)}))) > 0) AS specific FROM c3),
+c5 AS (SELECT *, list_filter(CASE WHEN len(specific) > 0 THEN flatten(list_transform(specific, lambda v: {_PARTS("v")})) ELSE {_PARTS("segment")} END, lambda w: length(w) >= 3 AND w NOT IN ({_quoted(X.QUERY_STOP_WORDS + schema.KEY_NOISE)})) AS inf FROM c4),
+c6 AS (SELECT *, CASE WHEN len(inf) > 0 THEN array_to_string({_ONE("inf")}[1:6], '-') END AS seed, CASE {" ".join(f"WHEN contains(lower(segment), '{needle}') THEN '{name}'" for needle, name in schema.ATTRIBUTES)} END AS attribute FROM c5),
+c7 AS (SELECT *, CASE kind WHEN 'profile' THEN CASE WHEN attribute IN ('preference', 'favorite') THEN 'profile:' || attribute || coalesce(':' || seed, '') ELSE 'profile:' || coalesce(attribute, seed) END WHEN 'handoff' THEN 'handoff:primary' WHEN 'decision' THEN 'decision:' || seed WHEN 'commitment' THEN 'commitment:' || seed WHEN 'procedure' THEN 'procedure:' || seed END AS canonical_key FROM c6)"""
+
+
+@query(f"WITH {_SPANS}, {_SCHEMA} SELECT conv_id, turn, seq, array_to_string(facets, ',') AS facets, array_to_string(topics, ',') AS topics, canonical_key FROM c7")
 def extract_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Facets, entities, topics and canonical keys of the candidates."""
+    """Facets, topics and canonical keys (without entities) of the candidates."""
     found = extraction.candidates(table(spark, sf_dir, "conversations"))
     t, k = F.col("segment"), F.col("kind")
-    return found.select("conv_id", "turn", "seq", F.array_join(extraction.facets(t, k), ",").alias("facets"), F.array_join(F.transform(extraction.entities(t), lambda e: e["value"]), ",").alias("entities"), F.array_join(extraction.topics(t), ",").alias("topics"), extraction.canonical_key(k, t).alias("canonical_key"))
+    found = found.withColumn("t", schema.topics(t, F.col("tags")))
+    key = schema.canonical_key(k, t, topic_values=F.col("t"))
+    return found.select("conv_id", "turn", F.col("seq").cast("long").alias("seq"), F.array_join(schema.facets(t, k), ",").alias("facets"), F.array_join("t", ",").alias("topics"), key.alias("canonical_key"))
+
+
+@query()
+def extract_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entities of the candidates, one row each. Without SQL: runs of names need a walk through the text; tests/test_schema.py has expected ones."""
+    found = extraction.described(extraction.candidates(table(spark, sf_dir, "conversations")))
+    return found.select("conv_id", "turn", "seq", F.posexplode("entities").alias("place", "e")).select("conv_id", "turn", "seq", "place", "e.label", "e.value", "e.normalized_value", "e.confidence")
 
 
 @query()
 def consolidate_scd2(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = extraction.candidates(table(spark, sf_dir, "conversations"))
-    return consolidation.consolidated(found.withColumn("canonical_key", extraction.canonical_key(F.col("kind"), F.col("segment"))))
+    return consolidation.consolidated(extraction.described(found))
 
 
 # D, P, Q: evaluation -----------------------------------------------------------------------------------------------
@@ -516,8 +578,7 @@ SELECT k, round(avg(CASE WHEN hits > 0 THEN 1.0 ELSE 0.0 END), 6) AS hit, round(
 )
 def recall_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Retrieval of the documents that hold a benchmark item word by word."""
-    items, docs = table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents")
-    relevant = docs.crossJoin(F.broadcast(items.select("item_id", F.col("text").alias("item")))).where(F.contains("text", "item")).select(F.col("item_id").alias("qid"), "doc_id")
+    relevant = lexical.containing(table(spark, sf_dir, "documents"), _benchmark(spark, sf_dir).withColumnRenamed("qid", "phrase_id")).withColumnRenamed("phrase_id", "qid")
     found = _lexical_hits(spark, sf_dir).select("qid", F.col("chunk_id").alias("doc_id"), "rank")
     return evaluation.recall_at(found, relevant, [1, 5, 10, 20])
 

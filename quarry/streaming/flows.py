@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from quarry.functions import text as X
 from quarry.operators import consolidation, extraction
 
 
@@ -17,7 +18,7 @@ def candidates(messages: DataFrame) -> DataFrame:
     pieces = messages.select("conv_id", "turn", "role", F.posexplode(extraction.segments(F.col("text"))).alias("seq", "segment"))
     rows = pieces.withColumn("kind", extraction.kind(F.col("segment"))).withColumn("status", extraction.status(F.col("segment"), F.col("kind")))
     good = rows.where((F.length("segment") >= 18) & extraction.extractable(F.col("segment"), F.col("kind"), F.col("role")))
-    return good.withColumn("canonical_key", extraction.canonical_key(F.col("kind"), F.col("segment")))
+    return extraction.described(good.withColumn("tags", X.tags(F.col("segment"))))
 
 
 _STATE = "rows array<struct<id:string,namespace:bigint,kind:string,status:string,canonical_key:string,text:string,seq:bigint,action:string,supersedes_id:string,superseded_by_id:string>>"

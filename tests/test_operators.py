@@ -115,8 +115,8 @@ def test_extraction(spark):
     assert spans["I'll remember that the repo uses Swift"][2] == "not_memory_worthy"
     again = extraction.spans(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).where("turn = 2").orderBy("seq").collect()
     assert [r.reason for r in again] == ["too_short", "duplicate_span"]
-    assert one(spark, extraction.facets(F.lit("Zac prefers this project"), F.lit("profile"))) == ["fact_about_user", "preference", "project"]
-    assert one(spark, F.transform(extraction.entities(F.lit("Today we met Ada Lovelace in Berlin")), lambda e: e["value"])) == ["Ada Lovelace", "Berlin"]
+    assert one(spark, schema.facets(F.lit("Zac prefers this project"), F.lit("profile"))) == ["fact_about_user", "preference", "project"]
+    assert one(spark, F.transform(schema.entities(F.lit("Today we met Ada Lovelace in Berlin")), lambda e: e["value"])) == ["Today", "Ada Lovelace", "Berlin"]
 
 
 def fold(rows):
@@ -181,7 +181,7 @@ def test_sources(spark, tmp_path):
     (tmp_path / "rows.jsonl").write_text('# note\n\n{"id": "1", "n": 2}\n')
     assert [tuple(r) for r in files.json_lines(spark, str(tmp_path / "rows.jsonl"), "id string, n int", ["id"]).collect()] == [("1", 2)]
     (tmp_path / "bad.jsonl").write_text('{"n": 2}\n')
-    with pytest.raises(Exception, match="incomplete row"):
+    with pytest.raises(Exception, match="line 1: bad or incomplete"):
         files.json_lines(spark, str(tmp_path / "bad.jsonl"), "id string, n int", ["id"]).collect()
     np.save(tmp_path / "v.npy", np.ones((3, 2), np.float32))
     assert files.npy_vectors(spark, str(tmp_path)).count() == 3
