@@ -166,8 +166,8 @@ def test_chunks():
 def test_planner():
     assert planner.recall_plan("How many superseded notes?").temporal_intent == "count"
     assert planner.recall_plan("what happened to the task").statuses == {"active", "resolved"}
-    assert planner.time_anchors("2 weeks ago and yesterday", datetime.date(2024, 5, 20)) == ["2024-05-19", "2024-05-06"]
-    assert planner.time_anchors("last monday", datetime.date(2024, 5, 20)) == ["2024-05-13"]
+    assert planner.anchor_dates("2 weeks ago and yesterday", datetime.date(2024, 5, 20)) == [datetime.date(2024, 5, 19), datetime.date(2024, 5, 6)]
+    assert planner.time_anchors("last monday", datetime.date(2024, 5, 20)) == ["2024-05-13", "may 13 2024", "may 13", "mon 13"]
     found = planner.branches("When did the release planning meeting move to Berlin", planner.recall_plan("release"), 5)
     assert found[0].weight == 2.0 and len({b.text for b in found}) == len(found) and len(found) <= 6
     assert planner.pool_limit(2000, 0) == 1000 and planner.pool_limit(20, 50) == 200
