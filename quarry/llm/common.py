@@ -143,13 +143,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder: what is read from it survives the loss of executors, and its lineage is cut. Shuffle files of the write go as soon as it ends."""
     spark = df.sparkSession
     path, before = new_path(spark, name), spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
     try:
-        if before is not None:
-            spark.conf.set(_CLEANUP, "true")
         df.write.option("compression", "zstd").parquet(path)
     finally:
-        if before is not None:
-            spark.conf.set(_CLEANUP, before)
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
