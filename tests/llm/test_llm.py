@@ -264,6 +264,23 @@ def test_linked(spark, tmp_path, odd, empty, monkeypatch):
     assert grouping.linked(empty).count() == 0 and grouping.linked(docs).columns == ["doc_id", "class_id", "links"]
 
 
+@pytest.mark.parametrize("levels", [(1, 3, 20), (2, 4, 8), (5, 200, 900), (64, 4096, 64**3)])
+def test_levels_lose_no_pair(spark, tmp_path, monkeypatch, levels):
+    """Groups, some of which share passages with many others, wholly or in part, at the borders of all levels."""
+    rng = random.Random(sum(levels))
+    passages = [prose(rng, 30, 5000) for _ in range(3)]
+    rows = []
+    for _ in range(25):
+        base = prose(rng, rng.choice((12, 40, 80)), 3000).split(" ")
+        for _ in range(rng.choice((1, 2, 6, 12))):
+            own = [w if rng.random() > 0.04 else f"x{rng.randrange(10**6)}" for w in base]
+            rows.append((len(rows), " ".join([*own, *rng.sample(passages, rng.randrange(0, 4))])))
+    rows += [(len(rows) + i, " ".join(rng.sample(passages, 2))) for i in range(6)]
+    docs = table(spark, rows, tmp_path / "d.parquet")
+    monkeypatch.setattr(jaccard, "LEVELS", levels)
+    assert {(r.doc_a, r.doc_b): r.jaccard for r in jaccard.near_pairs(docs).collect()} == brute_pairs(rows)
+
+
 def test_sums_give_way_to_memory():
     rng = np.random.default_rng(2)
     sigs = rng.permutation(1000)[:20] * 7 - 3000
@@ -277,9 +294,9 @@ def test_sums_give_way_to_memory():
                 want[min(x, y), max(x, y), abs(min(x, y)) << 32 | abs(max(x, y))] += z
             sums.add(numbers[a], numbers[b], n)
             for r in (r for batch in sums.taken(most) for r in batch.to_pylist()):
-                got[r["sig_a"], r["sig_b"], r["sizes"]] += r["n"]
+                got[r["x"], r["y"], r["sizes"]] += r["n"]
         for r in (r for batch in sums.taken(0) for r in batch.to_pylist()):
-            got[r["sig_a"], r["sig_b"], r["sizes"]] += r["n"]
+            got[r["x"], r["y"], r["sizes"]] += r["n"]
         assert got == want
 
 
