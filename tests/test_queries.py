@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from decimal import Decimal
 
 import duckdb
 import pytest
@@ -17,7 +18,7 @@ NAMES = [n for n in entry.queries() if not n.startswith("op") and n != "pipeline
 def plain(value):
     if value is None or isinstance(value, float) and value != value:
         return "none"
-    return f"{float(value):.6g}" if isinstance(value, (int, float)) and not isinstance(value, bool) else str(value)
+    return f"{float(value):.6g}" if isinstance(value, (int, float, Decimal)) and not isinstance(value, bool) else str(value)
 
 
 @pytest.fixture(scope="module")
