@@ -106,10 +106,14 @@ def anchor_bonus(query: Column, title: Column, content: Column) -> Column:
 
 def tag_bonus(query_tags: Column, chunk_tags: Column) -> Column:
     """Of arrays of (name, confidence) with distinct names: .01 times the matched share of the query's confidence."""
-    mass = F.aggregate(query_tags, F.lit(0.0), lambda s, t: s + t["confidence"])
-    of = lambda name: F.coalesce(F.array_max(F.transform(F.filter(chunk_tags, lambda c: c["name"] == name), lambda c: c["confidence"])), F.lit(0.0))
-    hit = F.aggregate(query_tags, F.lit(0.0), lambda s, t: s + F.least(t["confidence"], of(t["name"])))
-    return F.when(mass > 0, 0.01 * F.least(F.lit(1.0), hit / mass)).otherwise(0.0)
+    def bonus(both: Column) -> Column:
+        mass = F.aggregate(both["q"], F.lit(0.0), lambda s, t: s + t["confidence"])
+        of = lambda name: F.coalesce(F.array_max(F.transform(F.filter(both["c"], lambda c: c["name"] == name), lambda c: c["confidence"])), F.lit(0.0))
+        hit = F.aggregate(both["q"], F.lit(0.0), lambda s, t: s + F.least(t["confidence"], of(t["name"])))
+        return F.when(mass > 0, 0.01 * F.least(F.lit(1.0), hit / mass)).otherwise(0.0)
+
+    # in a lambda, so that the arrays are made once for a row
+    return F.get(F.transform(F.array(F.struct(query_tags.alias("q"), chunk_tags.alias("c"))), bonus), F.lit(0))
 
 
 def schema_bonus(entities: Column, facets: Column, topics: Column, chunk_tag_names: Column) -> Column:
