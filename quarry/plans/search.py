@@ -6,6 +6,7 @@ Queries become branches in Arrow batches; all branches of all queries are looked
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from datetime import date
@@ -62,6 +63,14 @@ def branches(queries: DataFrame, options: Options, prompt: Callable[[str], str]
     return queries.select(F.col("qid").cast("long").alias("qid"), "text").mapInPandas(plan, BRANCHES)
 
 
+def _cut(df: DataFrame) -> DataFrame:
+    """df, written to the folder in spark.checkpoint.dir (a temporary one only if none is set, as in tests): what follows is planned and run without what came before."""
+    context = df.sparkSession.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quarry-"))
+    return df.checkpoint()
+
+
 def _accumulated(hits: list[DataFrame], name: str) -> DataFrame:
     """Sums of rrf() over several lists of hits (qid, chunk_id, rank, weight)."""
     rows = hits[0]
@@ -85,26 +94,26 @@ def search(chunks: DataFrame, queries: DataFrame, options: Options, now: str, in
     """
     index = index or lexical.index(chunks)
     embedded = chunks.select(F.col("chunk_id").alias("vec_id"), embed(F.col("content")).alias("embedding")) if embedded is None else embedded
-    wanted = branches(queries, options).persist()  # a few rows of each query, read by every lookup
+    wanted = _cut(branches(queries, options))  # a few rows of each query, read by every lookup
     first = wanted.where("branch = 0")
     bid = (F.col("qid") * 16 + F.col("branch")).alias("qid")
     of = lambda hits: hits.withColumn("branch", (F.col("qid") % 16).cast("int")).withColumn("qid", F.expr("qid div 16")).join(wanted.select("qid", "branch", "kind", "weight", "text", "query"), ["qid", "branch"])
     lists: list[DataFrame] = []
-    cut = lambda h: h.select("qid", "chunk_id", "rank", "weight")
-    found = of(lexical.search(index, wanted.where("kind NOT IN ('semantic', 'hypothetical_document')").select(bid, "text"), options.lexical)) if options.lexical else None
+    hits_of = lambda h: h.select("qid", "chunk_id", "rank", "weight")
+    found = _cut(of(lexical.search(index, wanted.where("kind NOT IN ('semantic', 'hypothetical_document')").select(bid, "text"), options.lexical))) if options.lexical else None
     near = None
     if options.semantic:
         asked = wanted.where("kind <> 'lexical'").select(bid, embed(F.col("text")).alias("embedding"))
-        near = of(vectors.knn(embedded, asked, options.semantic).select("qid", F.col("vec_id").alias("chunk_id"), "rank"))
+        near = _cut(of(vectors.knn(embedded, asked, options.semantic).select("qid", F.col("vec_id").alias("chunk_id"), "rank")))
     if found is not None:
-        lists.append(cut(found))
+        lists.append(hits_of(found))
         names = first.select("qid", F.posexplode("entities").alias("i", "text"))
         entity = lexical.search(index, names.select((F.col("qid") * 16 + F.col("i")).alias("qid"), "text"), max(1, options.lexical // 2))
-        lists.append(cut(entity.withColumn("qid", F.expr("qid div 16")).withColumn("weight", F.lit(0.5))))
+        lists.append(hits_of(entity.withColumn("qid", F.expr("qid div 16")).withColumn("weight", F.lit(0.5))))
         if options.tags:
             for column, kind, weight in (("entities", "entity", 0.60), ("topics", "topic", 0.35), ("facets", "facet", 0.25)):
                 tagged = first.select("qid", F.explode(column).alias("n")).select("qid", F.concat(F.lit(kind + ":"), "n").alias("name"))
-                lists.append(cut(tag_hits(chunks, tagged, max(8, options.lexical // 2)).withColumn("weight", F.lit(weight))))
+                lists.append(hits_of(tag_hits(chunks, tagged, max(8, options.lexical // 2)).withColumn("weight", F.lit(weight))))
         strong = fusion.strong_signal(found.where("branch = 0"), F.size(X.tokens(F.col("text")))).select("qid", "strong")
         counts = wanted.join(found.groupBy("qid", "branch").agg(F.count("*").alias("hits")), ["qid", "branch"], "left").join(strong, "qid", "left").na.fill({"hits": 0, "strong": False})
         open_ = fusion.document_branches(counts, options.lexical, options.search_limit)
@@ -114,7 +123,7 @@ def search(chunks: DataFrame, queries: DataFrame, options: Options, now: str, in
     # signals of each candidate
     none = lambda: chunks.limit(0).select(F.lit(0).cast("long").alias("qid"), "chunk_id", F.lit(0.0).alias("score"))
     signals: dict[str, DataFrame] = {
-        "semantic": _accumulated([cut(near)], "score") if near is not None else none(),
+        "semantic": _accumulated([hits_of(near)], "score") if near is not None else none(),
         "lexical": _accumulated(lists, "lexical").join(by_document, ["qid", "chunk_id"], "full").select("qid", "chunk_id", (F.coalesce("lexical", F.lit(0.0)) + F.coalesce("by_document", F.lit(0.0))).alias("score")) if lists else none(),
         "promotion": fusion.promotion(found.where("branch > 0 AND kind = 'lexical'").withColumn("primary", F.col("query")), F.col("weight")) if found is not None else none(),
     }
@@ -125,6 +134,7 @@ def search(chunks: DataFrame, queries: DataFrame, options: Options, now: str, in
         one = scores.select("qid", "chunk_id", F.lit(name).alias("signal"), "score")
         rows = one if rows is None else rows.unionByName(one)
     rows = rows.groupBy("qid", "chunk_id").pivot("signal", list(signals)).agg(F.sum("score")).where("semantic IS NOT NULL OR lexical IS NOT NULL")
+    rows = _cut(rows)
     rows = rows.join(first.select("qid", "query", "intent", "statuses", "entities", "topics", "facets", "key_terms"), "qid")
     pool = planner.pool_limit(options.search_limit, options.rerank)
     hydrated = fusion.hydration_limit(options.search_limit, options.rerank, pool)
@@ -144,6 +154,7 @@ def search(chunks: DataFrame, queries: DataFrame, options: Options, now: str, in
     ranked = fusion.by_rank(fusion.fused(rows, now), "fused", pool)
     score = rerank(F.col("query"), F.col("title"), F.col("content")) if rerank and options.rerank else F.lit(None).cast("double")
     ranked = fusion.blended(ranked.withColumn("rerank", F.when(F.col("rank") <= options.rerank, score)), options.rerank)
+    ranked = _cut(ranked)
     # order
     limit = options.search_limit
     if options.expansion:
