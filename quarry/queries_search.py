@@ -52,7 +52,7 @@ def recall_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def search_branches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All branches of the benchmark's items. Without SQL: tests/test_search.py has expected ones."""
+    """All branches of the benchmark's items. Without SQL: tests/test_search.py has what must hold for them."""
     return search.branches(_benchmark(spark, sf_dir), search.Options()).select("qid", "branch", "kind", "weight", "text", "intent")
 
 
@@ -142,7 +142,7 @@ def _search_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def memory_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ten best documents of each benchmark item by the whole search, with the lines of their best chunk. Without SQL: its parts have theirs, tests/test_search.py checks the whole."""
+    """The ten best documents of each benchmark item by the whole search, with the lines of their best chunk. Without SQL: its parts have theirs; of the whole, only that it runs has been seen."""
     chunks = _search_chunks(spark, sf_dir)
     found = search.search(chunks, _benchmark(spark, sf_dir), search.Options(limit=10, semantic=100, lexical=100, rerank=20), NOW)
     lines = search.with_lines(found, chunks.select("path", F.col("content").alias("text")))
