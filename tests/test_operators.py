@@ -97,7 +97,7 @@ def test_fusion(spark):
 
 def test_blend_and_protection(spark):
     rows = [(1, i, f"p{i}", 1.0 - i / 100, 0.9 if i == 15 else 0.0, i + 1) for i in range(20)]
-    df = spark.createDataFrame(rows, "qid long, chunk_id long, path string, fused double, primary double, rank int").withColumn("rerank", F.lit(None).cast("double"))
+    df = spark.createDataFrame(rows, "qid long, chunk_id long, path string, fused double, primary double, rank int").withColumn("rerank", F.lit(None).cast("double")).withColumn("query", F.lit("plain words"))
     out = fusion.protected(fusion.blended(df, 10), 10).where("final_rank <= 10").collect()
     assert "p15" in {r.path for r in out} and "p9" not in {r.path for r in out}
     assert one(spark, fusion.group_key(F.lit("a/b/session_abs_12.md"))) == "session"
