@@ -362,8 +362,8 @@ class _Sums:
         self.held += len(a)
 
     def taken(self, most: int) -> Iterator[pa.RecordBatch]:
-        """Nothing while at most so many are held; the sums, if even those are many."""
-        if self.held <= max(most, 2 * self.summed) or not self.held:
+        """Nothing while at most so many are held; the sums, if even those are many. With 0, all that is held."""
+        if not self.held or most and self.held <= max(most, 2 * self.summed):
             return
         code, n = (np.concatenate(x) for x in zip(*self.parts))
         self.parts = []

@@ -300,6 +300,18 @@ def test_sums_give_way_to_memory():
         assert got == want
 
 
+def test_sums_held_after_summing_are_handed_on():
+    sums, got = jaccard._Sums(), Counter()
+    numbers = sums.numbers(np.array([5, 3, 9]), np.array([10, 11, 12]))
+    for _ in range(3):  # the third one sums what is held to two pairs, which stay
+        sums.add(numbers[[0, 0]], numbers[[1, 2]], np.array([1, 2]))
+        assert not list(sums.taken(4))
+    assert (sums.held, sums.summed) == (2, 2)
+    for r in (r for batch in sums.taken(0) for r in batch.to_pylist()):
+        got[r["x"], r["y"]] += r["n"]
+    assert got == {(3, 5): 3, (5, 9): 6} and not list(sums.taken(0))
+
+
 def test_one_of_each_group(spark, odd, empty):
     docs, _ = odd
     out = grouping.one_of_each_group(docs)
