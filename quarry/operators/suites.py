@@ -131,6 +131,8 @@ TEMPORAL_CUES = "after|before|currently|date|day|during|how many|last|month|now|
 SEVERAL_CUES = " and |across|all the|between|combined|from |total"
 CONTEXT_CUES = " it |previous chat|previous conversation|remind me|that |this |those "
 NAME_PATTERN = r"\b[A-Z][A-Za-z0-9_-]{2,}\b"
+#: An edge of a word of ASCII letters, digits and _: what \b is in the SQL's engine. To Java, letters like é belong to words.
+_EDGE = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
 
 
 def taxonomy(query: Column, n_relevant: Column, types: Column) -> Column:
@@ -139,7 +141,7 @@ def taxonomy(query: Column, n_relevant: Column, types: Column) -> Column:
     temporal = has("temporal") | low.rlike(TEMPORAL_CUES)
     labels = F.array_compact(F.array(
         F.when(temporal, "temporal/count"), F.when((n_relevant > 1) | low.rlike(SEVERAL_CUES), "multi-evidence"), F.when(low.rlike(CONTEXT_CUES), "contextual-ellipsis"),
-        F.when(query.rlike("['\"]") | query.rlike(NAME_PATTERN) | has("entity"), "entity/alias"), F.when(has("episodic") & ~temporal, "episodic/contextual"),
+        F.when(query.rlike("['\"]") | query.rlike(NAME_PATTERN.replace(r"\b", _EDGE)) | has("entity"), "entity/alias"), F.when(has("episodic") & ~temporal, "episodic/contextual"),
     ))
     return F.when(F.size(labels) > 0, labels).otherwise(F.array(F.lit("lexical/semantic-mismatch")))
 
