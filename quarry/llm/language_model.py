@@ -43,6 +43,10 @@ FIRST_ROUND_WORDS = 300_000
 COUNT_BYTES = 32 << 20
 RATES = (0.01, 0.004)
 _SLICE = 1 << 14
+#: Numbers that steps over large arrays take at once, so that they stay in a core's cache.
+_BLOCK = 1 << 16
+#: exp() of logits within this needs no maximum taken off before.
+_SAFE_LOGIT = 60.0
 
 
 def classes_for(n_words: int) -> int:
@@ -51,7 +55,8 @@ def classes_for(n_words: int) -> int:
 
 
 def shapes(classes: int) -> dict[str, tuple[int, ...]]:
-    return {"E": (classes**2 + 1, EMBEDDING), "Wx": (EMBEDDING, 3 * HIDDEN), "Wh": (HIDDEN, 3 * HIDDEN), "b": (3 * HIDDEN,), "Wc": (HIDDEN, classes), "bc": (classes,), "Wo": (classes, HIDDEN, classes), "bo": (classes, classes)}
+    """Of C and O, outputs for classes and for the words of each, the last row are the biases."""
+    return {"E": (classes**2 + 1, EMBEDDING), "Wx": (EMBEDDING, 3 * HIDDEN), "Wh": (HIDDEN, 3 * HIDDEN), "b": (3 * HIDDEN,), "C": (HIDDEN + 1, classes), "O": (classes, HIDDEN + 1, classes)}
 
 
 def _size(classes: int) -> int:
@@ -153,6 +158,8 @@ class Model:
             size = math.prod(shape)
             self.p[name] = flat[at : at + size].reshape(shape)
             at += size
+        c, o = self.p["C"], self.p["O"]
+        self.p |= {"Wc": c[:HIDDEN], "bc": c[HIDDEN], "Wo": o[:, :HIDDEN], "bo": o[:, HIDDEN]}
 
     @classmethod
     def start(cls, counts: np.ndarray, seed: int = 1) -> Model:
@@ -185,40 +192,58 @@ class Model:
                 keep.append((before, a[:, 2 * n :], z, r, c))
         return out
 
+    def _wide(self, weights: np.ndarray, biases: np.ndarray) -> bool:
+        """Whether logits could be too large for exp(); states are within -1 and 1."""
+        return not HIDDEN * max(float(weights.max()), -float(weights.min())) + max(float(biases.max()), -float(biases.min())) < _SAFE_LOGIT
+
+    def _normalizers(self, h: np.ndarray, w: np.ndarray, wide: bool, out: np.ndarray, mean: np.ndarray | None, grad: np.ndarray | None, share: float) -> None:
+        """Takes the logarithm of the sum of exp(h @ w) from out. With mean and grad, adds the expected weights and the gradient by w of share times that logarithm."""
+        rows, ones = max(16, _BLOCK // w.shape[1]), np.ones(w.shape[1], np.float32)
+        for at in range(0, len(h), rows):
+            some = h[at : at + rows]
+            e = some @ w
+            if wide:
+                top = e.max(1)
+                e -= top[:, None]
+                out[at : at + rows] -= top
+            np.exp(e, out=e)
+            total = e @ ones
+            out[at : at + rows] -= np.log(total)
+            if mean is not None:
+                over = (1 / total)[:, None]
+                mean[at : at + rows] += (e @ w[:HIDDEN].T) * over
+                grad += (some * (over * np.float32(share))).T @ e
+
     def output(self, h: np.ndarray, y: np.ndarray, grads: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
-        """Log-probability of each next symbol y (>= 0) after state h; with grads, also the gradient by h of the negative mean."""
-        p = self.p
+        """Log-probability of each next symbol y (>= 0) after state h; with grads (zeros), also the gradient by h of the negative mean."""
+        p, n, share = self.p, HIDDEN, np.float32(1 / max(len(y), 1))
+        order = np.argsort(y, kind="stable")
+        y = y[order]
         cls, word = y // self.classes, y % self.classes
-        logits = h @ p["Wc"] + p["bc"]
-        logits -= logits.max(1, keepdims=True)
-        e = np.exp(logits)
-        total = e.sum(1, keepdims=True)
-        rows = np.arange(len(y))
-        logp = logits[rows, cls] - np.log(total[:, 0])
-        dh = None
-        if grads is not None:
-            d = e / total
-            d[rows, cls] -= 1
-            d /= len(y)
-            grads["Wc"], grads["bc"], dh = h.T @ d, d.sum(0), d @ p["Wc"].T
-        order = np.argsort(cls, kind="stable")
-        ends = np.searchsorted(cls[order], np.arange(self.classes + 1))
+        one = np.ones((len(y), n + 1), np.float32)
+        one[:, :n] = h[order]
+        own = p["C"].T[cls]
+        own += p["O"][cls, :, word]
+        logp = np.einsum("ij,ij->i", one, own)
+        mean = None if grads is None else np.zeros((len(y), n), np.float32)
+        self._normalizers(one, p["C"], self._wide(p["Wc"], p["bc"]), logp, mean, None if grads is None else grads["C"], share)
+        wide = self._wide(p["Wo"], p["bo"])
+        ends = np.searchsorted(cls, np.arange(self.classes + 1))
         for c in np.flatnonzero(np.diff(ends)).tolist():
-            i = order[ends[c] : ends[c + 1]]
-            some = h[i]
-            logits = some @ p["Wo"][c] + p["bo"][c]
-            logits -= logits.max(1, keepdims=True)
-            e = np.exp(logits)
-            total = e.sum(1, keepdims=True)
-            own = np.arange(len(i))
-            logp[i] += logits[own, word[i]] - np.log(total[:, 0])
-            if grads is not None:
-                d = e / total
-                d[own, word[i]] -= 1
-                d /= len(y)
-                grads["Wo"][c], grads["bo"][c] = some.T @ d, d.sum(0)
-                dh[i] += d @ p["Wo"][c].T
-        return logp, dh
+            a, b = ends[c], ends[c + 1]
+            self._normalizers(one[a:b], p["O"][c], wide, logp[a:b], None if mean is None else mean[a:b], None if grads is None else grads["O"][c], share)
+        back = np.empty(len(y), logp.dtype)
+        back[order] = logp
+        if mean is None:
+            return back, None
+        if len(y):  # what the symbols that do follow take away
+            heads = np.flatnonzero(np.r_[True, y[1:] != y[:-1]])
+            firsts = ends[:-1][np.diff(ends) > 0]
+            grads["O"][cls[heads], :, word[heads]] -= np.add.reduceat(one, heads, axis=0) * share
+            grads["C"][:, cls[firsts]] -= np.add.reduceat(one, firsts, axis=0).T * share
+        dh = np.empty_like(mean)
+        dh[order] = (mean - own[:, :n]) * share
+        return back, dh
 
     def gradient(self, x: np.ndarray, y: np.ndarray, h: np.ndarray, grads: Model) -> np.ndarray:
         """Fills grads for one window; returns the last states. y < 0: nothing follows."""
@@ -229,10 +254,7 @@ class Model:
         live = np.flatnonzero(y.ravel() >= 0)
         top = np.zeros((x.size, n), np.float32)
         if len(live):
-            mine = {"Wo": g["Wo"], "bo": g["bo"]}
-            _, dh = self.output(out.reshape(-1, n)[live], y.ravel()[live], mine)
-            g["Wc"][:], g["bc"][:] = mine["Wc"], mine["bc"]
-            top[live] = dh
+            top[live] = self.output(out.reshape(-1, n)[live], y.ravel()[live], g)[1]
         top = top.reshape(out.shape)
         alive = (x != self.bos).astype(np.float32)[..., None]
         di, carry = np.empty((*x.shape, 3 * n), np.float32), np.zeros_like(h)
@@ -283,14 +305,27 @@ class Trainer:
 
     def update(self) -> None:
         self.updates += 1
-        g = self.grads.flat
-        norm = float(np.sqrt(g @ g))
-        if norm > 1:
-            g *= 1 / norm
-        self.m += 0.1 * (g - self.m)
-        self.v += 0.01 * (g * g - self.v)
-        scale = self.rate * np.sqrt(1 - 0.99**self.updates) / (1 - 0.9**self.updates)
-        self.model.flat -= scale * self.m / (np.sqrt(self.v) + 1e-6)
+        norm = float(np.sqrt(self.grads.flat @ self.grads.flat))
+        scale = float(self.rate * np.sqrt(1 - 0.99**self.updates) / (1 - 0.9**self.updates))
+        block = _BLOCK // 4
+        step = np.empty(block, np.float32)
+        for at in range(0, len(self.m), block):
+            g, m, v, flat = (x[at : at + block] for x in (self.grads.flat, self.m, self.v, self.model.flat))
+            t = step[: len(g)]
+            if norm > 1:
+                g *= 1 / norm
+            np.subtract(g, m, out=t)
+            t *= 0.1
+            m += t
+            np.multiply(g, g, out=t)
+            t -= v
+            t *= 0.01
+            v += t
+            np.sqrt(v, out=t)
+            t += 1e-6
+            np.divide(m, t, out=t)
+            t *= scale
+            flat -= t
 
 
 def _documents(batch: pa.RecordBatch, ids: Ids, rare: list | None = None) -> list[np.ndarray]:
@@ -370,8 +405,15 @@ def log_likelihoods(model: Model, documents: list[np.ndarray]) -> np.ndarray:
     streams = [np.concatenate([np.r_[np.int32(bos), documents[i]] for i in pieces[k]]) for _, k in lanes]
     owners = [np.repeat(np.array(pieces[k], np.int32), [len(documents[i]) + 1 for i in pieces[k]]) for _, k in lanes]
     h = np.zeros((len(lanes), HIDDEN), np.float32)
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    size = 0
+
+    def add() -> None:
+        states, y, owner = (np.concatenate(c) for c in zip(*held))
+        out[:] += np.bincount(owner, weights=model.output(states, y)[0], minlength=len(out))
+
     for at in range(0, lanes[0][0], WINDOW):
-        going = sum(size > at for size, _ in lanes)
+        going = sum(length > at for length, _ in lanes)
         x = np.full((going, WINDOW + 1), bos, np.int32)
         owner = np.zeros((going, WINDOW), np.int32)
         for k in range(going):
@@ -383,9 +425,13 @@ def log_likelihoods(model: Model, documents: list[np.ndarray]) -> np.ndarray:
         states = model.states(x, h[:going])
         h = states[-1]
         live = np.flatnonzero(y != bos)
-        if len(live):
-            logp, _ = model.output(states.reshape(-1, HIDDEN)[live], y[live])
-            out += np.bincount(owner[live], weights=logp, minlength=len(out))
+        held.append((states.reshape(-1, HIDDEN)[live], y[live], owner[live]))
+        size += len(live)
+        if size >= 4 * LANES * WINDOW:  # outputs of many windows at once
+            add()
+            held, size = [], 0
+    if size:
+        add()
     return out
 
 

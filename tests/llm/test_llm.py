@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -152,6 +153,36 @@ def test_gradient():
         assert abs(grads.flat[k] - (loss(up) - loss(down)) / 0.02) < 1e-3
 
 
+@pytest.mark.parametrize("scale", [1, 80])
+def test_outputs_by_definition_without_large_matrices(scale):
+    rng, k, m = np.random.default_rng(scale), 200, 8000
+    model = language_model.Model.start(rng.integers(1, 1000, k * k))
+    for name in ("Wc", "Wo"):
+        model.p[name][:] *= scale  # with 80, logits are too large for exp()
+    h, y = np.tanh(rng.normal(size=(m, language_model.HIDDEN))).astype(np.float32), np.minimum(rng.integers(0, k * k, m), rng.integers(0, k * k, m)).astype(np.int32)
+    grads = language_model.Model(np.zeros_like(model.flat))
+    tracemalloc.start()
+    logp, dh = model.output(h, y, grads.p)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 4 * m * k  # less than one number for each row and class
+    c, w = y // k, y % k
+    logits = [h.astype(float) @ model.p["Wc"] + model.p["bc"], np.einsum("ij,ijk->ik", h.astype(float), model.p["Wo"][c]) + model.p["bo"][c]]
+    logits = [x - x.max(1, keepdims=True) for x in logits]
+    logits = [x - np.log(np.exp(x).sum(1, keepdims=True)) for x in logits]
+    rows = np.arange(m)
+    assert np.allclose(logp, logits[0][rows, c] + logits[1][rows, w], rtol=1e-4, atol=2e-3)
+    dc, dw = (np.exp(x) for x in logits)
+    dc[rows, c] -= 1
+    dw[rows, w] -= 1
+    wo = np.zeros((k, language_model.HIDDEN, k))
+    np.add.at(wo, c, h[:, :, None] * dw[:, None, :] / m)
+    assert np.allclose(grads.p["Wc"], h.T @ dc / m, atol=1e-5) and np.allclose(grads.p["bc"], dc.mean(0), atol=1e-5)
+    assert np.allclose(grads.p["Wo"], wo, atol=1e-5)
+    assert np.allclose(dh, (dc @ model.p["Wc"].T + np.einsum("ik,ijk->ij", dw, model.p["Wo"][c])) / m, rtol=1e-3, atol=1e-6 * scale)
+    assert np.allclose(model.output(h, y)[0], logp)
+
+
 def test_language_model_learns_and_scores_whole_documents(spark, tmp_path, odd, empty):
     rng = random.Random(5)
     pattern = lambda n: " ".join("abcdefgh"[(s := rng.randrange(8)) :] + " " + "xyz"[s % 3] for _ in range(n))
