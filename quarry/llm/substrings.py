@@ -1,11 +1,11 @@
-"""Passages of at least L words that occur in other documents, too: matching statistics from compressed FM-indexes.
+"""Passages of at least L words that occur in other documents, too: matching statistics from FM-indexes.
 
 Documents meet in shards by content. Each window of L words has an anchor, its least hash of K words, and equal windows
 have equal anchors. An anchor that a single document has cannot lie in a shared passage, so only text around anchors of
 two documents or more is sent: to the shard of the anchor, with the L - K words before and after it, so that every
 window with this anchor is whole there. All shared windows are found, whatever their number.
 
-A shard joins its pieces to one sequence and indexes it (wavelet matrix of the Burrows-Wheeler transform). Pieces are
+A shard joins its pieces to one sequence and indexes it (places of each word in the Burrows-Wheeler transform). Pieces are
 then streamed through the index, all of them in step: from each end place the match with another document is extended
 backwards as far as it goes. The places of a shared window are marked, and marked places merge into intervals.
 
@@ -28,8 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import doc_key, grams, input_bytes, mix, stable, tokenize, written
-from .fm import FMIndex
+from .common import _BASE, doc_key, input_bytes, mix, stable, tokenize, written
+from .fm import ListIndex
 
 L, K = 50, 20
 ANCHOR_BYTES = 16 << 20
@@ -38,36 +38,52 @@ SHARD_BYTES = 4 << 20
 FILTER_BYTES = 256 << 20
 
 
-def anchors(hashes: np.ndarray, length: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places and hashes of the anchors of one text: the least K-gram of each window of `length` words, the leftmost of equal ones."""
-    if len(hashes) < length:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    values = grams(hashes, np.array([0, len(hashes)]), k)[0]
+def anchors(hashes: np.ndarray, bounds: np.ndarray, length: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places and hashes of the anchors of several texts, and each text's first one: the least K-gram of each window of `length` words, the leftmost of equal ones."""
+    n = len(hashes) - length + 1  # windows, also those across texts, which are left out below
+    if n <= 0:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(len(bounds), np.int64)
+    values = whole_grams(hashes, k)
+    # a sliding minimum by doubling; places are those of the leftmost
     width = length - k + 1
-    # a sliding minimum from prefix and suffix minima of blocks; values are made distinct from left to right by their places
-    order = np.argsort(values, kind="stable")
-    rank = np.empty(len(values), np.int64)
-    rank[order] = np.arange(len(values))
-    padded = np.full(-(-len(rank) // width) * width, len(rank), np.int64)
-    padded[: len(rank)] = rank
-    blocks = padded.reshape(-1, width)
-    forward = np.minimum.accumulate(blocks, axis=1).ravel()
-    backward = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
-    n = len(rank) - width + 1
-    least = np.unique(np.minimum(backward[:n], forward[width - 1 : width - 1 + n]))
-    places = np.sort(order[least])
-    return places, values[places]
-
-
-def _texts(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[tuple[int, int | None, np.ndarray]]:
+    least, place, size = values, np.arange(len(values), dtype=np.int32 if len(values) < 1 << 31 else np.int64), 1
+    while size < width:
+        by = min(size, width - size)
+        later = least[by:] < least[:-by]
+        place = np.where(later, place[by:], place[:-by])
+        least = np.minimum(least[:-by], least[by:])
+        size += by
+    place = place[np.arange(n) + length <= np.repeat(bounds[1:], np.diff(bounds))[:n]]
+    places = place[np.flatnonzero(np.diff(place, prepend=-1))].astype(np.int64)  # they never go back
+    return places, values[places], np.searchsorted(places, bounds)
+
+
+def whole_grams(hashes: np.ndarray, k: int) -> np.ndarray:
+    """grams() of all windows of k words of one text, by doubling."""
+    n = len(hashes) - k + 1
+    made, have, piece, size = np.zeros(len(hashes) + 1, np.uint64), 0, hashes, 1
+    while True:
+        power = np.uint64(pow(int(_BASE), size, 2**64))
+        if k & size:
+            made = made[: len(hashes) - have - size + 1] * power + piece[have:]
+            have += size
+        if have == k:
+            return mix(made[:n])
+        piece = piece[:-size] * power + piece[size:]
+        size *= 2
+
+
+def _texts(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[tuple[int, int | None, np.ndarray, np.ndarray, np.ndarray]]:
+    """Key, doc_id, words, and places and hashes of the anchors of each text that is long enough."""
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             part = batch.slice(at, rows)
             tokens = tokenize(part.column("text").to_pylist())
             ids = part.column("doc_id").to_pylist() if "doc_id" in part.schema.names else [None] * part.num_rows
-            for key, doc_id, a, b in zip(part.column("key").to_pylist(), ids, tokens.bounds[:-1].tolist(), tokens.bounds[1:].tolist()):
+            places, values, firsts = anchors(tokens.hashes, tokens.bounds, L, K)
+            for key, doc_id, a, b, i, j in zip(part.column("key").to_pylist(), ids, tokens.bounds[:-1].tolist(), tokens.bounds[1:].tolist(), firsts[:-1].tolist(), firsts[1:].tolist()):
                 if b - a >= L:
-                    yield key, doc_id, tokens.hashes[a:b]
+                    yield key, doc_id, tokens.hashes[a:b], places[i:j] - a, values[i:j]
 
 
 def _bloom_bits(anchors: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -84,8 +100,8 @@ def shared_anchors(docs: DataFrame, parts: int) -> Iterator[dict[int, np.ndarray
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, keys, held = [], [], 0
-        for key, _, hashes in _texts(batches):
-            one = np.unique(anchors(hashes, L, K)[1])
+        for key, _, _, _, values in _texts(batches):
+            one = np.unique(values)
             found.append(one)
             keys.append(np.full(len(one), key, np.int64))
             held += len(one)
@@ -149,9 +165,8 @@ def _pieces(docs: DataFrame, known: object, parts: int, shards: int) -> DataFram
         size = 0
         # anchors of many texts are looked up together
         lot: list[tuple] = []
-        for key, doc_id, hashes in _texts(batches):
-            places, values = anchors(hashes, L, K)
-            lot.append((key, doc_id, hashes, places, values))
+        for text in _texts(batches):
+            lot.append(text)
             if len(lot) == 256:
                 size += gather(lot, held)
                 lot = []
@@ -188,7 +203,7 @@ def _pieces(docs: DataFrame, known: object, parts: int, shards: int) -> DataFram
     return docs.select("key", "doc_id", "text").mapInArrow(cut, "shard int, keys binary, ids binary, named binary, starts binary, lengths binary, words binary")
 
 
-def shared_windows(index: FMIndex, seq: np.ndarray, begins: np.ndarray, lengths: np.ndarray, owners: np.ndarray, owner_at: np.ndarray, length: int) -> np.ndarray:
+def shared_windows(index: ListIndex, seq: np.ndarray, begins: np.ndarray, lengths: np.ndarray, owners: np.ndarray, owner_at: np.ndarray, length: int) -> np.ndarray:
     """For each place of seq, whether a window of `length` begins there, in one of these pieces, that another owner has.
 
     owner_at: the owner of each suffix, in the index's order. All pieces advance in step; each extends the match that ends
@@ -242,12 +257,11 @@ def _search(table: pa.Table) -> pa.Table:
     size = lengths[one]
     begins = np.r_[0, np.cumsum(size + 1)]
     _, symbols = np.unique(words, return_inverse=True)
-    sigma = int(symbols.max()) + 2
     seq = np.zeros(int(begins[-1]), np.int64)
     inside = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
     seq[np.repeat(begins[:-1], size) + inside] = symbols[np.repeat(firsts[:-1][one], size) + inside] + 1
     owners = np.where(many, -1 - np.arange(len(one)), np.unique(keys[one], return_inverse=True)[1])
-    index = FMIndex(seq, sigma)
+    index = ListIndex(seq)
     owner_at = np.repeat(owners, size + 1)[index.order]
     index.drop_order()
     marked = shared_windows(index, seq, begins[:-1][~many], size[~many], owners[~many], owner_at, L)

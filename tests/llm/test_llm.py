@@ -396,6 +396,29 @@ def test_fm_index():
             assert sorted(index.locate(np.arange(a, b)).tolist()) == want
 
 
+def test_list_index_steps_as_the_wavelet_matrix():
+    rng = np.random.default_rng(1)
+    for _ in range(40):
+        s = np.r_[rng.integers(0, 6, rng.integers(1, 80)), 0].astype(np.int64)
+        one, other = fm.FMIndex(s, 7), fm.ListIndex(s)
+        symbol, ends = rng.integers(1, 6, 50), np.sort(rng.integers(0, len(s) + 1, (2, 50)), axis=0)
+        assert np.array_equal(one.step(symbol, *ends), other.step(symbol, *ends)) and np.array_equal(one.order, other.order)
+
+
+def test_anchors_of_many_texts_by_definition():
+    rng = np.random.default_rng(3)
+    for length, k in ((50, 20), (12, 5), (7, 7), (9, 1)):
+        sizes = rng.choice([0, 1, 5, length - 1, length, length + 1, 90, 200], 40)
+        bounds = np.r_[0, np.cumsum(sizes)]
+        hashes = rng.integers(0, 3 if k > 5 else 50, bounds[-1]).astype(np.uint64)  # equal K-grams in a window
+        places, values, firsts = substrings.anchors(hashes, bounds, length, k)
+        for a, b, i, j in zip(bounds[:-1], bounds[1:], firsts[:-1], firsts[1:]):
+            v = common.grams(hashes[a:b], np.array([0, b - a]), k)[0]
+            want = sorted({w + int(np.argmin(v[w : w + length - k + 1])) for w in range(b - a - length + 1)})
+            assert (places[i:j] - a).tolist() == want and values[i:j].tolist() == v[want].tolist()
+    assert [len(x) for x in substrings.anchors(np.zeros(0, np.uint64), np.zeros(1, np.int64), 50, 20)] == [0, 0, 1]
+
+
 def test_decontamination(spark, tmp_path, odd, empty):
     rng = random.Random(2)
     items = [(1, prose(rng, 20, 50)), (2, "Short phrase here"), (3, None), (4, ""), (5, prose(rng, 9, 50)), (None, "nameless item text"), (6, "short PHRASE, here")]
