@@ -44,7 +44,7 @@ COUNT_BYTES = 32 << 20
 RATES = (0.01, 0.004)
 _SLICE = 1 << 14
 #: Numbers that steps over large arrays take at once, so that they stay in a core's cache.
-_BLOCK = 1 << 16
+_BLOCK = 1 << 15
 #: exp() of logits within this needs no maximum taken off before.
 _SAFE_LOGIT = 60.0
 
@@ -307,7 +307,7 @@ class Trainer:
         self.updates += 1
         norm = float(np.sqrt(self.grads.flat @ self.grads.flat))
         scale = float(self.rate * np.sqrt(1 - 0.99**self.updates) / (1 - 0.9**self.updates))
-        block = _BLOCK // 4
+        block = _BLOCK
         step = np.empty(block, np.float32)
         for at in range(0, len(self.m), block):
             g, m, v, flat = (x[at : at + block] for x in (self.grads.flat, self.m, self.v, self.model.flat))
