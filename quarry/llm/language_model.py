@@ -23,14 +23,14 @@ from __future__ import annotations
 import heapq
 import itertools
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW_BITS, input_bytes, partition_id, stable, tokenize, written
+from .common import ROW_BITS, input_bytes, partition_id, tokenize, written
 
 MIN_CLASSES, BUCKETS = 32, 64
 #: Ids of the smallest model; there are as many classes as ids in a class.
@@ -43,10 +43,15 @@ FIRST_ROUND_WORDS = 300_000
 COUNT_BYTES = 32 << 20
 RATES = (0.01, 0.004)
 _SLICE = 1 << 14
+#: Documents in a row of the table of words, and those that a task scores at once.
+_ROW, _LOT = 256, 10_000
+#: Distinct words of rows that a task adds up before it hands on their counts.
+_HELD = 1 << 21
+_HASHED = ["doc_ids", "bounds", "words", "codes"]
 #: Numbers that steps over large arrays take at once, so that they stay in a core's cache.
 _BLOCK = 1 << 15
-#: exp() of logits within this needs no maximum taken off before.
-_SAFE_LOGIT = 60.0
+#: Sums of exp() up to this and down to one over it need no maximum taken off before.
+_SAFE = 1e12
 
 
 def classes_for(n_words: int) -> int:
@@ -55,8 +60,8 @@ def classes_for(n_words: int) -> int:
 
 
 def shapes(classes: int) -> dict[str, tuple[int, ...]]:
-    """Of C and O, outputs for classes and for the words of each, the last row are the biases."""
-    return {"E": (classes**2 + 1, EMBEDDING), "Wx": (EMBEDDING, 3 * HIDDEN), "Wh": (HIDDEN, 3 * HIDDEN), "b": (3 * HIDDEN,), "C": (HIDDEN + 1, classes), "O": (classes, HIDDEN + 1, classes)}
+    """Of C and O, outputs for classes and for the words of each, the last column are the biases."""
+    return {"E": (classes**2 + 1, EMBEDDING), "Wx": (EMBEDDING, 3 * HIDDEN), "Wh": (HIDDEN, 3 * HIDDEN), "b": (3 * HIDDEN,), "C": (classes, HIDDEN + 1), "O": (classes, classes, HIDDEN + 1)}
 
 
 def _size(classes: int) -> int:
@@ -84,19 +89,59 @@ def _part(hashes: np.ndarray, parts: int) -> np.ndarray:
     return np.searchsorted(((hashes >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32), np.arange(parts + 1, dtype=np.uint64))
 
 
+def hashed(docs: DataFrame) -> DataFrame:
+    """The words of docs as a table in the shared folder, so that texts are taken apart once. A row has some documents: their ids, the first word of each and the end, distinct hashes of words, and the place of every word among these."""
+    if docs.columns == _HASHED:
+        return docs
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, _ROW):
+                some = batch.slice(at, _ROW)
+                tokens = tokenize(some.column("text").to_pylist())
+                words, codes = np.unique(tokens.hashes, return_inverse=True)
+                doc_ids = pa.ListArray.from_arrays(pa.array([0, some.num_rows], pa.int32()), pa.concat_arrays([some.column("doc_id")]))
+                blobs = [pa.array([x.tobytes()], pa.binary()) for x in (tokens.bounds.astype(np.int64), words, codes.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays([doc_ids, *blobs], _HASHED)
+
+    return written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(read, "doc_ids array<bigint>, bounds binary, words binary, codes binary"), "hashes")
+
+
+def _rows(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]]:
+    """Ids of documents, first words, distinct hashes and places among these, of each row of a hashed() table."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            bounds, words, codes = (np.frombuffer(batch.column(c)[i].as_buffer(), t) for c, t in (("bounds", np.int64), ("words", np.uint64), ("codes", np.int32)))
+            yield batch.column("doc_ids")[i].values, bounds, words, codes
+
+
+def _lots(rows: Iterable[tuple], size: Callable[[tuple], int], most: int) -> Iterator[list[tuple]]:
+    """Rows one after the other, until their sizes come to most."""
+    lot: list[tuple] = []
+    total = 0
+    for row in rows:
+        lot.append(row)
+        total += size(row)
+        if total >= most:
+            yield lot
+            lot, total = [], 0
+    if lot:
+        yield lot
+
+
 def vocabulary(docs: DataFrame) -> tuple[Vocabulary, np.ndarray]:
     """The vocabulary of all documents, and the counts of all ids (words, then buckets)."""
-    docs = stable(docs.select("text"), "counted")
+    docs = hashed(docs)
     parts = max(8, -(-input_bytes(docs) // COUNT_BYTES))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            hashes = np.concatenate([tokenize(batch.column("text").slice(at, 512).to_pylist()).hashes for at in range(0, batch.num_rows, 512)] or [np.zeros(0, np.uint64)])
-            if len(hashes):
-                words, n = np.unique(hashes, return_counts=True)
-                ends = _part(words, parts)
-                rows = [(p, words[ends[p] : ends[p + 1]].tobytes(), n[ends[p] : ends[p + 1]].astype(np.int64).tobytes()) for p in np.flatnonzero(np.diff(ends)).tolist()]
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary()))], ["part", "words", "n"])
+        found = ((words, np.bincount(codes, minlength=len(words))) for _, _, words, codes in _rows(batches) if len(words))
+        for lot in _lots(found, lambda row: len(row[0]), _HELD):
+            words, place = np.unique(np.concatenate([w for w, _ in lot]), return_inverse=True)
+            n = np.bincount(place, weights=np.concatenate([n for _, n in lot])).astype(np.int64)
+            ends = _part(words, parts)
+            rows = [(p, words[ends[p] : ends[p + 1]].tobytes(), n[ends[p] : ends[p + 1]].tobytes()) for p in np.flatnonzero(np.diff(ends)).tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary()))], ["part", "words", "n"])
 
     def add(table: pa.Table) -> pa.Table:
         words = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("words")])
@@ -105,7 +150,7 @@ def vocabulary(docs: DataFrame) -> tuple[Vocabulary, np.ndarray]:
         n = np.bincount(place, weights=n).astype(np.int64)
         return pa.table({"part": table.column("part")[:1], "total": pa.array([int(n.sum())]), "words": pa.array([words.tobytes()], pa.binary()), "n": pa.array([n.tobytes()], pa.binary())})
 
-    made = docs.select("text").mapInArrow(count, "part int, words binary, n binary")
+    made = docs.mapInArrow(count, "part int, words binary, n binary")
     counted = written(made.groupBy("part").applyInArrow(add, "part int, total long, words binary, n binary"), "words")
     classes = classes_for(counted.agg(F.sum("total")).first()[0] or 0)
     known = classes**2 - BUCKETS
@@ -146,20 +191,29 @@ class Ids:
         return np.where(self.sorted[at] == hashes, self.order[at].astype(np.int32), bucket)
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+def _ordered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The stable order of keys (>= 0), and the sorted keys."""
+    both = keys.astype(np.int64) << 32
+    both |= np.arange(len(keys))
+    both.sort()
+    return both & 0xFFFFFFFF, both >> 32
+
+
+def _heads(keys: np.ndarray) -> np.ndarray:
+    """The first place of each of the sorted keys."""
+    return np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
 
 
 class Model:
     def __init__(self, flat: np.ndarray) -> None:
         self.classes = next(c for c in itertools.count(1) if _size(c) >= len(flat))
-        self.flat, self.p, self.bos, at = flat, {}, self.classes**2, 0
+        self.flat, self.p, self.bos, self.wide, at = flat, {}, self.classes**2, False, 0
         for name, shape in shapes(self.classes).items():
             size = math.prod(shape)
             self.p[name] = flat[at : at + size].reshape(shape)
             at += size
         c, o = self.p["C"], self.p["O"]
-        self.p |= {"Wc": c[:HIDDEN], "bc": c[HIDDEN], "Wo": o[:, :HIDDEN], "bo": o[:, HIDDEN]}
+        self.p |= {"Wc": c[:, :HIDDEN].T, "bc": c[:, HIDDEN], "Wo": o[:, :, :HIDDEN].transpose(0, 2, 1), "bo": o[:, :, HIDDEN]}
 
     @classmethod
     def start(cls, counts: np.ndarray, seed: int = 1) -> Model:
@@ -174,110 +228,165 @@ class Model:
         model.p["bo"][:] = np.log(share / share.sum(1, keepdims=True))
         return model
 
-    def states(self, x: np.ndarray, h: np.ndarray, keep: list | None = None) -> np.ndarray:
-        """Hidden states [time, lane] after reading x, from h; a document's first symbol (bos) resets its lane."""
+    def _steps(self, x: np.ndarray, h: np.ndarray, keep: list | None = None) -> np.ndarray:
+        """Hidden states [unit, time, lane] after reading x, from h [unit, lane]: lanes lie side by side, so that each step goes through long rows."""
         p, n = self.p, HIDDEN
-        inputs = (p["E"][x.ravel()] @ p["Wx"] + p["b"]).reshape(*x.shape, 3 * n)
-        out = np.empty((*x.shape, n), np.float32)
-        alive = (x != self.bos).astype(np.float32)[..., None]
+        read = np.ascontiguousarray(p["E"][x.ravel()].T)
+        inputs = np.ascontiguousarray(p["Wx"].T) @ read
+        inputs += p["b"][:, None]
+        inputs = inputs.reshape(3 * n, *x.shape)
+        out = np.empty((n, *x.shape), np.float32)
+        alive, weights = (x != self.bos).astype(np.float32), np.ascontiguousarray(p["Wh"].T)
         for t in range(len(x)):
             before = h * alive[t]
-            a = before @ p["Wh"]
-            gates = _sigmoid(inputs[t, :, : 2 * n] + a[:, : 2 * n])
-            z, r = gates[:, :n], gates[:, n:]
-            c = np.tanh(inputs[t, :, 2 * n :] + r * a[:, 2 * n :])
-            h = c + z * (before - c)
-            out[t] = h
+            a = weights @ before
+            gates = inputs[: 2 * n, t] + a[: 2 * n]
+            np.negative(gates, out=gates)
+            np.exp(gates, out=gates)
+            gates += 1
+            np.reciprocal(gates, out=gates)
+            z, r = gates[:n], gates[n:]
+            c = r * a[2 * n :]
+            c += inputs[2 * n :, t]
+            np.tanh(c, out=c)
+            h = out[:, t]
+            np.subtract(before, c, out=h)
+            h *= z
+            h += c
             if keep is not None:
-                keep.append((before, a[:, 2 * n :], z, r, c))
+                keep.append((before, a[2 * n :], z, r, c))
+        if keep is not None:
+            keep.append(read)
         return out
 
-    def _wide(self, weights: np.ndarray, biases: np.ndarray) -> bool:
-        """Whether logits could be too large for exp(); states are within -1 and 1."""
-        return not HIDDEN * max(float(weights.max()), -float(weights.min())) + max(float(biases.max()), -float(biases.min())) < _SAFE_LOGIT
-
-    def _normalizers(self, h: np.ndarray, w: np.ndarray, wide: bool, out: np.ndarray, mean: np.ndarray | None, grad: np.ndarray | None, share: float) -> None:
-        """Takes the logarithm of the sum of exp(h @ w) from out. With mean and grad, adds the expected weights and the gradient by w of share times that logarithm."""
-        rows, ones = max(16, _BLOCK // w.shape[1]), np.ones(w.shape[1], np.float32)
-        for at in range(0, len(h), rows):
-            some = h[at : at + rows]
-            e = some @ w
-            if wide:
-                top = e.max(1)
-                e -= top[:, None]
-                out[at : at + rows] -= top
-            np.exp(e, out=e)
-            total = e @ ones
-            out[at : at + rows] -= np.log(total)
-            if mean is not None:
-                over = (1 / total)[:, None]
-                mean[at : at + rows] += (e @ w[:HIDDEN].T) * over
-                grad += (some * (over * np.float32(share))).T @ e
+    def states(self, x: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """Hidden states [time, lane] after reading x, from h; a document's first symbol (bos) resets its lane."""
+        return self._steps(x, h.T).transpose(1, 2, 0)
+
+    def _normalizers(self, one: np.ndarray, weights: np.ndarray, ends: list[int], logp: np.ndarray, sums: np.ndarray, grads: np.ndarray | None, share: float) -> float:
+        """For rows of one (states, then 1) up to each end and one matrix each, puts the weights (and 1) expected by exp(), not divided by the normalizer that is the last, into sums, or that one alone.
+
+        With grads, also the gradient by the weights of share times the normalizers' logarithms. Biases come after exp() as factors, unless logits may be too large; returns the largest one.
+        """
+        rows, back, left, by = max(16, _BLOCK // weights.shape[1]), weights.copy(), one, None
+        back[..., HIDDEN] = 1
+        if not self.wide:
+            by = np.exp(weights[..., HIDDEN:])
+            back *= by
+            left, weights = one[:, :HIDDEN], weights[..., :HIDDEN]
+        back = back[..., -sums.shape[1] :]
+        for c, (begin, end) in enumerate(itertools.pairwise(ends)):
+            for at in range(begin, end, rows):
+                some = slice(at, min(at + rows, end))
+                e = left[some] @ weights[c].T
+                if self.wide:
+                    top = e.max(1)
+                    e -= top[:, None]
+                    logp[some] -= top
+                np.exp(e, out=e)
+                found = np.matmul(e, back[c], out=sums[some])
+                if grads is not None:
+                    parts = one[some] * (share / found[:, -1:])
+                    if at > begin:
+                        grads[c] += e.T @ parts
+                    else:
+                        np.matmul(e.T, parts, out=grads[c])
+        if by is None:
+            return 1.0
+        if grads is not None:
+            grads *= by
+        return float(by.max())
 
     def output(self, h: np.ndarray, y: np.ndarray, grads: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """Log-probability of each next symbol y (>= 0) after state h; with grads (zeros), also the gradient by h of the negative mean."""
-        p, n, share = self.p, HIDDEN, np.float32(1 / max(len(y), 1))
-        order = np.argsort(y, kind="stable")
-        y = y[order]
-        cls, word = y // self.classes, y % self.classes
-        one = np.ones((len(y), n + 1), np.float32)
+        p, n, m, share = self.p, HIDDEN, len(y), np.float32(1 / max(len(y), 1))
+        order, y = _ordered(y)
+        back = np.empty_like(order)
+        back[order] = np.arange(m)
+        cls, outputs = y // self.classes, p["O"].reshape(-1, n + 1)
+        one = np.ones((m, n + 1), np.float32)
         one[:, :n] = h[order]
-        own = p["C"].T[cls]
-        own += p["O"][cls, :, word]
+        own = p["C"][cls]
+        own += outputs[y]
+        ends = np.searchsorted(y, np.arange(self.classes + 1) * self.classes).tolist()
         logp = np.einsum("ij,ij->i", one, own)
-        mean = None if grads is None else np.zeros((len(y), n), np.float32)
-        self._normalizers(one, p["C"], self._wide(p["Wc"], p["bc"]), logp, mean, None if grads is None else grads["C"], share)
-        wide = self._wide(p["Wo"], p["bo"])
-        ends = np.searchsorted(cls, np.arange(self.classes + 1))
-        for c in np.flatnonzero(np.diff(ends)).tolist():
-            a, b = ends[c], ends[c + 1]
-            self._normalizers(one[a:b], p["O"][c], wide, logp[a:b], None if mean is None else mean[a:b], None if grads is None else grads["O"][c], share)
-        back = np.empty(len(y), logp.dtype)
-        back[order] = logp
-        if mean is None:
-            return back, None
-        if len(y):  # what the symbols that do follow take away
-            heads = np.flatnonzero(np.r_[True, y[1:] != y[:-1]])
-            firsts = ends[:-1][np.diff(ends) > 0]
-            grads["O"][cls[heads], :, word[heads]] -= np.add.reduceat(one, heads, axis=0) * share
-            grads["C"][:, cls[firsts]] -= np.add.reduceat(one, firsts, axis=0).T * share
-        dh = np.empty_like(mean)
-        dh[order] = (mean - own[:, :n]) * share
-        return back, dh
+        sums = np.ones((2, m, 1 if grads is None else n + 1), np.float32)
+        gc, go = (None, None) if grads is None else (grads["C"], grads["O"])
+        step, factor = max(1, _BLOCK // outputs[: self.classes].size), 1.0
+        with np.errstate(over="ignore", invalid="ignore", divide="ignore"):
+            if m:
+                factor = self._normalizers(one, p["C"][None], [0, m], logp, sums[0], None if gc is None else gc[None], share)
+            for c in range(0, self.classes, step):
+                some = ends[c : c + step + 1]
+                if some[0] < some[-1]:
+                    factor = max(factor, self._normalizers(one, p["O"][c : c + step], some, logp, sums[1], None if go is None else go[c : c + step], share))
+        totals = sums[:, :, -1]
+        if m and not self.wide and not (totals.min() > 1 / _SAFE and totals.max() < _SAFE and factor < _SAFE):
+            self.wide = True  # logits are too large for exp(), here and maybe from now on
+            if grads is not None:
+                gc[:], go[:] = 0, 0
+            return self.output(h, y[back], grads)
+        logp -= np.log(totals).sum(0)
+        if grads is None:
+            return logp[back], None
+        if m:
+            heads = _heads(y)  # what the symbols that do follow take away
+            taken = np.add.reduceat(one, heads, axis=0) * share
+            go.reshape(-1, n + 1)[y[heads]] -= taken
+            firsts = _heads(cls[heads])
+            gc[cls[heads][firsts]] -= np.add.reduceat(taken, firsts, axis=0)
+        mean, more = sums
+        mean /= mean[:, -1:]
+        more /= more[:, -1:]
+        mean += more
+        mean -= own
+        mean *= share
+        return logp[back], mean[back, :n]
 
     def gradient(self, x: np.ndarray, y: np.ndarray, h: np.ndarray, grads: Model) -> np.ndarray:
         """Fills grads for one window; returns the last states. y < 0: nothing follows."""
         p, n, g = self.p, HIDDEN, grads.p
         grads.flat[:] = 0
         kept: list = []
-        out = self.states(x, h, kept)
+        out = self._steps(x, h.T, kept)
+        read = kept.pop()
         live = np.flatnonzero(y.ravel() >= 0)
         top = np.zeros((x.size, n), np.float32)
         if len(live):
-            top[live] = self.output(out.reshape(-1, n)[live], y.ravel()[live], g)[1]
-        top = top.reshape(out.shape)
-        alive = (x != self.bos).astype(np.float32)[..., None]
-        di, carry = np.empty((*x.shape, 3 * n), np.float32), np.zeros_like(h)
-        da = np.empty((*x.shape, 3 * n), np.float32)
+            top[live] = self.output(np.ascontiguousarray(out.reshape(n, -1).T)[live], y.ravel()[live], g)[1]
+        top = np.ascontiguousarray(top.T).reshape(out.shape)
+        alive, carry = (x != self.bos).astype(np.float32), np.zeros((n, x.shape[1]), np.float32)
+        d = np.empty((4 * n, *x.shape), np.float32)  # by the inputs of c, z and r, and by what h gives to c
         for t in reversed(range(len(x))):
             before, a, z, r, c = kept[t]
-            d = top[t] + carry
-            dc = d * (1 - z) * (1 - c * c)
-            dz = d * (before - c) * z * (1 - z)
-            dr = dc * a * r * (1 - r)
-            di[t, :, :n], di[t, :, n : 2 * n], di[t, :, 2 * n :] = dz, dr, dc
-            da[t, :, :n], da[t, :, n : 2 * n], da[t, :, 2 * n :] = dz, dr, dc * r
-            carry = (d * z + da[t] @ p["Wh"].T) * alive[t]
-        flat_i, flat_a = di.reshape(-1, 3 * n), da.reshape(-1, 3 * n)
-        g["Wh"][:] = np.concatenate([k[0] for k in kept]).T @ flat_a
-        g["b"][:] = flat_i.sum(0)
-        ids = x.ravel()
-        g["Wx"][:] = p["E"][ids].T @ flat_i
-        de = flat_i @ p["Wx"].T
-        order = np.argsort(ids, kind="stable")
-        heads = np.flatnonzero(np.r_[True, np.diff(ids[order]) != 0])
-        g["E"][ids[order][heads]] = np.add.reduceat(de[order], heads, axis=0)
-        return out[-1]
+            dc, dz, dr, da = (d[k : k + n, t] for k in range(0, 4 * n, n))
+            carry += top[:, t]
+            new = 1 - z
+            new *= carry
+            np.multiply(c, c, out=dc)
+            np.subtract(1, dc, out=dc)
+            dc *= new
+            np.subtract(before, c, out=dz)
+            dz *= z
+            dz *= new
+            np.multiply(dc, r, out=da)
+            np.subtract(1, r, out=dr)
+            dr *= da
+            dr *= a
+            carry *= z
+            carry += p["Wh"] @ d[n:, t]
+            carry *= alive[t]
+        d, ids = d.reshape(4 * n, -1), x.ravel()
+        by = np.concatenate([np.concatenate([k[0] for k in kept], axis=1), read]) @ d.T
+        g["Wh"][:] = by[:n, n:]
+        g["Wx"][:] = np.roll(by[n:, : 3 * n], -n, axis=1)  # of c, z, r; weights have z, r, c
+        into = d[: 3 * n]
+        g["b"][:] = np.roll(into @ np.ones(x.size, np.float32), -n)
+        de = into.T @ np.roll(p["Wx"].T, n, axis=0)
+        order, ids = _ordered(ids)
+        heads = _heads(ids)
+        g["E"][ids[heads]] = np.add.reduceat(de[order], heads, axis=0)
+        return out[:, -1].T
 
 
 class Trainer:
@@ -289,7 +398,8 @@ class Trainer:
 
     def train(self, documents: list[np.ndarray]) -> None:
         bos = self.model.bos
-        stream = np.concatenate([np.r_[np.int32(bos), d] for d in documents])
+        begin = np.full(1, bos, np.int32)
+        stream = np.concatenate([part for d in documents for part in (begin, d)])
         self.words += len(stream) - len(documents)
         lanes = max(1, min(LANES, len(stream) // WINDOW))
         steps = -(-len(stream) // lanes)
@@ -309,36 +419,25 @@ class Trainer:
         scale = float(self.rate * np.sqrt(1 - 0.99**self.updates) / (1 - 0.9**self.updates))
         block = _BLOCK
         step = np.empty(block, np.float32)
-        for at in range(0, len(self.m), block):
+        for at in range(0, len(self.m), block):  # m is 10 times the mean of gradients, v 100 times that of their squares
             g, m, v, flat = (x[at : at + block] for x in (self.grads.flat, self.m, self.v, self.model.flat))
             t = step[: len(g)]
             if norm > 1:
                 g *= 1 / norm
-            np.subtract(g, m, out=t)
-            t *= 0.1
-            m += t
+            m *= 0.9
+            m += g
+            v *= 0.99
             np.multiply(g, g, out=t)
-            t -= v
-            t *= 0.01
             v += t
             np.sqrt(v, out=t)
-            t += 1e-6
+            t += 1e-5
             np.divide(m, t, out=t)
             t *= scale
             flat -= t
 
 
-def _documents(batch: pa.RecordBatch, ids: Ids, rare: list | None = None) -> list[np.ndarray]:
-    """The ids of each row; with rare, also (rows, hashes) of the words in buckets."""
-    out: list[np.ndarray] = []
-    for at in range(0, batch.num_rows, 512):
-        tokens = tokenize(batch.column("text").slice(at, 512).to_pylist())
-        symbols = ids.of(tokens.hashes)
-        if rare is not None:
-            some = np.flatnonzero(symbols >= ids.first)
-            rare.append((np.searchsorted(tokens.bounds, some, "right") - 1 + at, tokens.hashes[some]))
-        out += [symbols[a:b] for a, b in zip(tokens.bounds[:-1].tolist(), tokens.bounds[1:].tolist())]
-    return out
+def _documents(bounds: np.ndarray, symbols: np.ndarray) -> Iterator[np.ndarray]:
+    return (symbols[a:b] for a, b in itertools.pairwise(bounds.tolist()))
 
 
 def _round(docs: DataFrame, flat: np.ndarray, words: Vocabulary, first: bool) -> np.ndarray:
@@ -350,18 +449,18 @@ def _round(docs: DataFrame, flat: np.ndarray, words: Vocabulary, first: bool) ->
         ids, trainer, seen = Ids(vocabulary_), Trainer(start, rate), 0
         lot: list[np.ndarray] = []
         size = 0
-        for batch in batches:
-            for document in _documents(batch, ids):
-                early = seen < FIRST_ROUND_WORDS
-                seen += len(document)
-                if len(document) and early == first:
-                    lot.append(document)
-                    size += len(document)
-                    if size > 150_000:
-                        trainer.train(lot)
-                        lot, size = [], 0
-            if first and seen >= FIRST_ROUND_WORDS:
-                break
+        for document in (d for _, bounds, known, codes in _rows(batches) for d in _documents(bounds, ids.of(known)[codes])):
+            early = seen < FIRST_ROUND_WORDS
+            seen += len(document)
+            if early != first:
+                if first:
+                    break
+            elif len(document):
+                lot.append(document)
+                size += len(document)
+                if size > 150_000:
+                    trainer.train(lot)
+                    lot, size = [], 0
         if lot:
             trainer.train(lot)
         if trainer.words:
@@ -375,12 +474,13 @@ def _round(docs: DataFrame, flat: np.ndarray, words: Vocabulary, first: bool) ->
             n += w
         return pa.table({"slice": table.column("slice")[:1], "weights": pa.array([(total / n).astype(np.float32).tobytes()], pa.binary())})
 
-    found = docs.select("text").mapInArrow(train, "slice int, n double, weights binary").groupBy("slice").applyInArrow(average, "slice int, weights binary").collect()  # the weights of one model
+    found = docs.mapInArrow(train, "slice int, n double, weights binary").groupBy("slice").applyInArrow(average, "slice int, weights binary").collect()  # the weights of one model
     return np.frombuffer(b"".join(bytes(r.weights) for r in sorted(found, key=lambda r: r.slice)), np.float32) if found else flat
 
 
 def trained(docs: DataFrame) -> tuple[np.ndarray, Vocabulary]:
     """Weights and vocabulary of a model of all documents."""
+    docs = hashed(docs)
     words, counts = vocabulary(docs)
     flat = Model.start(counts).flat
     for first in (True, False):
@@ -402,9 +502,12 @@ def log_likelihoods(model: Model, documents: list[np.ndarray]) -> np.ndarray:
         heapq.heapreplace(lanes, (size + len(documents[i]) + 1, k))
     # the longest lanes first, so that those still going are the first ones; each begins with the symbol before its first word
     lanes.sort(reverse=True)
-    streams = [np.concatenate([np.r_[np.int32(bos), documents[i]] for i in pieces[k]]) for _, k in lanes]
-    owners = [np.repeat(np.array(pieces[k], np.int32), [len(documents[i]) + 1 for i in pieces[k]]) for _, k in lanes]
-    h = np.zeros((len(lanes), HIDDEN), np.float32)
+    placed, begin = [i for _, k in lanes for i in pieces[k]], np.full(1, bos, np.int32)
+    stream = np.concatenate([part for i in placed for part in (begin, documents[i])])
+    owners = np.repeat(np.array(placed, np.int32), [len(documents[i]) + 1 for i in placed])
+    lengths = np.array([length for length, _ in lanes])
+    starts = np.cumsum(lengths) - lengths
+    h = np.zeros((HIDDEN, len(lanes)), np.float32)
     held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     size = 0
 
@@ -413,19 +516,16 @@ def log_likelihoods(model: Model, documents: list[np.ndarray]) -> np.ndarray:
         out[:] += np.bincount(owner, weights=model.output(states, y)[0], minlength=len(out))
 
     for at in range(0, lanes[0][0], WINDOW):
-        going = sum(length > at for length, _ in lanes)
-        x = np.full((going, WINDOW + 1), bos, np.int32)
-        owner = np.zeros((going, WINDOW), np.int32)
-        for k in range(going):
-            some = streams[k][at : at + WINDOW + 1]
-            x[k, : len(some)] = some
-            own = owners[k][at : at + WINDOW]
-            owner[k, : len(own)] = own
-        y, x, owner = x[:, 1:].T.ravel(), np.ascontiguousarray(x[:, :-1].T), owner.T.ravel()
-        states = model.states(x, h[:going])
-        h = states[-1]
+        going = int(np.searchsorted(-lengths, -at))
+        place = np.arange(at, at + WINDOW + 1)[:, None]
+        past, place = place >= lengths[:going], np.minimum(place + starts[:going], len(stream) - 1)
+        x = stream[place]
+        x[past] = bos
+        y, owner = x[1:].ravel(), owners[place[:-1]].ravel()
+        states = model._steps(x[:-1], h[:, :going])
+        h = states[:, -1]
         live = np.flatnonzero(y != bos)
-        held.append((states.reshape(-1, HIDDEN)[live], y[live], owner[live]))
+        held.append((np.ascontiguousarray(states.reshape(HIDDEN, -1).T)[live], y[live], owner[live]))
         size += len(live)
         if size >= 4 * LANES * WINDOW:  # outputs of many windows at once
             add()
@@ -445,22 +545,27 @@ def scored(docs: DataFrame, flat: np.ndarray, words: Vocabulary) -> DataFrame:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, vocabulary_ = shared.value
         model, ids, base = Model(weights), Ids(vocabulary_), partition_id() << ROW_BITS
-        for batch in batches:
-            rare: list = []
-            documents = _documents(batch, ids, rare)
+        for lot in _lots(_rows(batches), lambda row: len(row[0]), _LOT):
+            rare: list[tuple[np.ndarray, np.ndarray]] = []
+            documents: list[np.ndarray] = []
+            for _, bounds, known, codes in lot:
+                symbols = ids.of(known)[codes]
+                some = np.flatnonzero(symbols >= ids.first)
+                rare.append((np.searchsorted(bounds, some, "right") - 1 + len(documents), known[codes[some]]))
+                documents += _documents(bounds, symbols)
             n = np.array([len(d) for d in documents], np.int64)
             logp = log_likelihoods(model, documents)
-            owner, hashes = (np.concatenate(x) for x in zip(*rare)) if rare else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
+            owner, hashes = (np.concatenate(x) for x in zip(*rare))
             order = np.argsort(hashes)
             owner, hashes = owner[order].astype(np.int32), hashes[order]
             ends = _part(hashes, vocabulary_.parts)
             rows = [(p, base, owner[ends[p] : ends[p + 1]].tobytes(), hashes[ends[p] : ends[p + 1]].tobytes()) for p in np.flatnonzero(np.diff(ends)).tolist()]
-            m = batch.num_rows
+            m = len(documents)
             columns = [pa.array([-1] * m + [r[0] for r in rows], pa.int32()), pa.array([base] * (m + len(rows)), pa.int64()), pa.array([*range(m), *[m] * len(rows)], pa.int32())]
-            columns += [pa.concat_arrays([batch.column("doc_id").cast(pa.int64()), pa.nulls(len(rows), pa.int64())]), pa.array(np.r_[n, np.zeros(len(rows), np.int64)]), pa.array(np.r_[logp, np.zeros(len(rows))])]
+            columns += [pa.concat_arrays([*(row[0] for row in lot), pa.nulls(len(rows), pa.int64())]), pa.array(np.r_[n, np.zeros(len(rows), np.int64)]), pa.array(np.r_[logp, np.zeros(len(rows))])]
             columns += [pa.array([None] * m + [r[i] for r in rows], pa.binary()) for i in (2, 3)]
             yield pa.RecordBatch.from_arrays(columns, ["part", "base", "place", "doc_id", "n_words", "logp", "owner", "hashes"])
-            base += max(m, 1)
+            base += m
 
     def look(sent: pa.Table, counted: pa.Table) -> pa.Table:
         vocabulary_, bases, tails = shared.value[1], sent.column("base").to_pylist(), []
@@ -486,7 +591,7 @@ def scored(docs: DataFrame, flat: np.ndarray, words: Vocabulary) -> DataFrame:
             perplexity = np.exp(-logp / np.maximum(n, 1))
         return pa.table({"doc_id": documents.column("doc_id"), "n_words": n, "log_likelihood": logp, "perplexity": pa.array(perplexity, mask=n == 0)})
 
-    made = written(docs.select("doc_id", "text").mapInArrow(score, "part int, base long, place int, doc_id long, n_words long, logp double, owner binary, hashes binary"), "scores")
+    made = written(hashed(docs).mapInArrow(score, "part int, base long, place int, doc_id long, n_words long, logp double, owner binary, hashes binary"), "scores")
     sent = made.where("part >= 0").select("part", "base", "owner", "hashes")
     tails = sent.groupBy("part").cogroup(words.counted.select("part", "words", "n").groupBy("part")).applyInArrow(look, "base long, tails binary")
     documents = made.where("part < 0").select("base", "place", "doc_id", "n_words", "logp")

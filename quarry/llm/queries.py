@@ -22,7 +22,7 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
+    docs = language_model.hashed(_table(spark, sf_dir, "documents"))
     return language_model.scored(docs, *language_model.trained(docs))
 
 
