@@ -43,8 +43,8 @@ FIRST_ROUND_WORDS = 300_000
 COUNT_BYTES = 32 << 20
 RATES = (0.01, 0.004)
 _SLICE = 1 << 14
-#: Documents in a row of the table of words, and those that a task scores at once.
-_ROW, _LOT = 256, 10_000
+#: Documents in a row of the table of words; words and documents that a task scores at once.
+_ROW, _LOT = 256, 5_000_000
 #: Distinct words of rows that a task adds up before it hands on their counts.
 _HELD = 1 << 21
 _HASHED = ["doc_ids", "bounds", "words", "codes"]
@@ -101,7 +101,7 @@ def hashed(docs: DataFrame) -> DataFrame:
                 tokens = tokenize(some.column("text").to_pylist())
                 words, codes = np.unique(tokens.hashes, return_inverse=True)
                 doc_ids = pa.ListArray.from_arrays(pa.array([0, some.num_rows], pa.int32()), pa.concat_arrays([some.column("doc_id")]))
-                blobs = [pa.array([x.tobytes()], pa.binary()) for x in (tokens.bounds.astype(np.int64), words, codes.astype(np.int32))]
+                blobs = [pa.array([x.tobytes()], pa.binary()) for x in (tokens.bounds.astype(np.int64), words, codes.astype(np.uint16 if len(words) <= 1 << 16 else np.int32))]
                 yield pa.RecordBatch.from_arrays([doc_ids, *blobs], _HASHED)
 
     return written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(read, "doc_ids array<bigint>, bounds binary, words binary, codes binary"), "hashes")
@@ -111,7 +111,8 @@ def _rows(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndar
     """Ids of documents, first words, distinct hashes and places among these, of each row of a hashed() table."""
     for batch in batches:
         for i in range(batch.num_rows):
-            bounds, words, codes = (np.frombuffer(batch.column(c)[i].as_buffer(), t) for c, t in (("bounds", np.int64), ("words", np.uint64), ("codes", np.int32)))
+            bounds, words = (np.frombuffer(batch.column(c)[i].as_buffer(), t) for c, t in (("bounds", np.int64), ("words", np.uint64)))
+            codes = np.frombuffer(batch.column("codes")[i].as_buffer(), np.uint16 if len(words) <= 1 << 16 else np.int32)
             yield batch.column("doc_ids")[i].values, bounds, words, codes
 
 
@@ -231,17 +232,21 @@ class Model:
     def _steps(self, x: np.ndarray, h: np.ndarray, keep: list | None = None) -> np.ndarray:
         """Hidden states [unit, time, lane] after reading x, from h [unit, lane]: lanes lie side by side, so that each step goes through long rows."""
         p, n = self.p, HIDDEN
-        read = np.ascontiguousarray(p["E"][x.ravel()].T)
-        inputs = np.ascontiguousarray(p["Wx"].T) @ read
-        inputs += p["b"][:, None]
+        read = np.empty((2 * n, *x.shape), np.float32)  # states before, then what is read
+        read.reshape(2 * n, -1)[n:] = np.take(p["E"], x.ravel(), axis=0).T  # take() is much faster than an index
+        into, weights = p["Wx"].T.copy(), p["Wh"].T.copy()
+        into[: 2 * n] *= -1  # so that gates are 1 / (1 + exp(sum))
+        weights[: 2 * n] *= -1
+        inputs = into @ read[n:].reshape(n, -1)
+        inputs[: 2 * n] -= p["b"][: 2 * n, None]
+        inputs[2 * n :] += p["b"][2 * n :, None]
         inputs = inputs.reshape(3 * n, *x.shape)
         out = np.empty((n, *x.shape), np.float32)
-        alive, weights = (x != self.bos).astype(np.float32), np.ascontiguousarray(p["Wh"].T)
+        alive = (x != self.bos).astype(np.float32)
         for t in range(len(x)):
-            before = h * alive[t]
+            before = np.multiply(h, alive[t], out=read[:n, t])
             a = weights @ before
             gates = inputs[: 2 * n, t] + a[: 2 * n]
-            np.negative(gates, out=gates)
             np.exp(gates, out=gates)
             gates += 1
             np.reciprocal(gates, out=gates)
@@ -270,15 +275,17 @@ class Model:
         """
         rows, back, left, by = max(16, _BLOCK // weights.shape[1]), weights.copy(), one, None
         back[..., HIDDEN] = 1
+        front = weights.reshape(-1, HIDDEN + 1).T
         if not self.wide:
             by = np.exp(weights[..., HIDDEN:])
             back *= by
-            left, weights = one[:, :HIDDEN], weights[..., :HIDDEN]
+            left, front = one[:, :HIDDEN], front[:HIDDEN]
+        front, k = np.ascontiguousarray(front), weights.shape[1]
         back = back[..., -sums.shape[1] :]
         for c, (begin, end) in enumerate(itertools.pairwise(ends)):
             for at in range(begin, end, rows):
                 some = slice(at, min(at + rows, end))
-                e = left[some] @ weights[c].T
+                e = left[some] @ front[:, c * k : (c + 1) * k]
                 if self.wide:
                     top = e.max(1)
                     e -= top[:, None]
@@ -305,9 +312,9 @@ class Model:
         back[order] = np.arange(m)
         cls, outputs = y // self.classes, p["O"].reshape(-1, n + 1)
         one = np.ones((m, n + 1), np.float32)
-        one[:, :n] = h[order]
-        own = p["C"][cls]
-        own += outputs[y]
+        one[:, :n] = np.take(h, order, axis=0)
+        own = np.take(p["C"], cls, axis=0)
+        own += np.take(outputs, y, axis=0)
         ends = np.searchsorted(y, np.arange(self.classes + 1) * self.classes).tolist()
         logp = np.einsum("ij,ij->i", one, own)
         sums = np.ones((2, m, 1 if grads is None else n + 1), np.float32)
@@ -341,7 +348,7 @@ class Model:
         mean += more
         mean -= own
         mean *= share
-        return logp[back], mean[back, :n]
+        return logp[back], np.take(mean, back, axis=0)[:, :n]
 
     def gradient(self, x: np.ndarray, y: np.ndarray, h: np.ndarray, grads: Model) -> np.ndarray:
         """Fills grads for one window; returns the last states. y < 0: nothing follows."""
@@ -353,7 +360,7 @@ class Model:
         live = np.flatnonzero(y.ravel() >= 0)
         top = np.zeros((x.size, n), np.float32)
         if len(live):
-            top[live] = self.output(np.ascontiguousarray(out.reshape(n, -1).T)[live], y.ravel()[live], g)[1]
+            top[live] = self.output(np.take(np.ascontiguousarray(out.reshape(n, -1).T), live, axis=0), y.ravel()[live], g)[1]
         top = np.ascontiguousarray(top.T).reshape(out.shape)
         alive, carry = (x != self.bos).astype(np.float32), np.zeros((n, x.shape[1]), np.float32)
         d = np.empty((4 * n, *x.shape), np.float32)  # by the inputs of c, z and r, and by what h gives to c
@@ -377,7 +384,7 @@ class Model:
             carry += p["Wh"] @ d[n:, t]
             carry *= alive[t]
         d, ids = d.reshape(4 * n, -1), x.ravel()
-        by = np.concatenate([np.concatenate([k[0] for k in kept], axis=1), read]) @ d.T
+        by = read.reshape(2 * n, -1) @ d.T
         g["Wh"][:] = by[:n, n:]
         g["Wx"][:] = np.roll(by[n:, : 3 * n], -n, axis=1)  # of c, z, r; weights have z, r, c
         into = d[: 3 * n]
@@ -385,7 +392,7 @@ class Model:
         de = into.T @ np.roll(p["Wx"].T, n, axis=0)
         order, ids = _ordered(ids)
         heads = _heads(ids)
-        g["E"][ids[heads]] = np.add.reduceat(de[order], heads, axis=0)
+        g["E"][ids[heads]] = np.add.reduceat(np.take(de, order, axis=0), heads, axis=0)
         return out[:, -1].T
 
 
@@ -519,13 +526,13 @@ def log_likelihoods(model: Model, documents: list[np.ndarray]) -> np.ndarray:
         going = int(np.searchsorted(-lengths, -at))
         place = np.arange(at, at + WINDOW + 1)[:, None]
         past, place = place >= lengths[:going], np.minimum(place + starts[:going], len(stream) - 1)
-        x = stream[place]
+        x = np.take(stream, place)
         x[past] = bos
-        y, owner = x[1:].ravel(), owners[place[:-1]].ravel()
+        y, owner = x[1:].ravel(), np.take(owners, place[:-1]).ravel()
         states = model._steps(x[:-1], h[:, :going])
         h = states[:, -1]
         live = np.flatnonzero(y != bos)
-        held.append((np.ascontiguousarray(states.reshape(HIDDEN, -1).T)[live], y[live], owner[live]))
+        held.append((np.take(np.ascontiguousarray(states.reshape(HIDDEN, -1).T), live, axis=0), y[live], owner[live]))
         size += len(live)
         if size >= 4 * LANES * WINDOW:  # outputs of many windows at once
             add()
@@ -545,7 +552,7 @@ def scored(docs: DataFrame, flat: np.ndarray, words: Vocabulary) -> DataFrame:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, vocabulary_ = shared.value
         model, ids, base = Model(weights), Ids(vocabulary_), partition_id() << ROW_BITS
-        for lot in _lots(_rows(batches), lambda row: len(row[0]), _LOT):
+        for lot in _lots(_rows(batches), lambda row: len(row[0]) + len(row[3]), _LOT):
             rare: list[tuple[np.ndarray, np.ndarray]] = []
             documents: list[np.ndarray] = []
             for _, bounds, known, codes in lot:

@@ -226,13 +226,12 @@ def test_words_in_buckets_are_scored_by_their_counts(spark, tmp_path):
 
 
 def test_texts_are_taken_apart_once(spark, tmp_path):
-    rows = [(None, "One two, two"), (1, None), (2, ""), (3, "--"), *((i, prose(random.Random(i), 50)) for i in range(4, 600))]
+    rows = [(None, "One two, two"), (1, None), (2, ""), (3, "--"), *((i, prose(random.Random(i), 50)) for i in range(4, 600)), (600, prose(random.Random(0), 200_000, 10**6))]
     docs = language_model.hashed(table(spark, rows, tmp_path / "d.parquet"))
     shutil.rmtree(tmp_path / "d.parquet")  # all that follows comes from the table of words
     found = {}
-    for r in docs.collect():
-        bounds, words, codes = (np.frombuffer(bytes(x), t) for x, t in ((r.bounds, np.int64), (r.words, np.uint64), (r.codes, np.int32)))
-        found |= {d: words[codes[a:b]].tolist() for d, a, b in zip(r.doc_ids, bounds[:-1], bounds[1:], strict=True)}
+    for ids, bounds, words, codes in language_model._rows(docs.toArrow().to_batches()):
+        found |= {d: words[codes[a:b]].tolist() for d, a, b in zip(ids.to_pylist(), bounds[:-1], bounds[1:], strict=True)}
     assert found == {d: common.tokenize([t]).hashes.tolist() for d, t in rows}
     scores = {r.doc_id: r for r in language_model.scored(docs, *language_model.trained(docs)).collect()}
     assert {d: r.n_words for d, r in scores.items()} == {d: len(common.words(t)) for d, t in rows}
@@ -241,7 +240,7 @@ def test_texts_are_taken_apart_once(spark, tmp_path):
 
 def test_first_round_reads_no_more_rows_than_it_needs():
     taken = []
-    words = (np.arange(40, dtype=np.uint64).tobytes(), np.arange(40, dtype=np.int32).tobytes())
+    words = (np.arange(40, dtype=np.uint64).tobytes(), np.arange(40, dtype=np.uint16).tobytes())
     batches = (taken.append(i) or pa.RecordBatch.from_pydict({"doc_ids": [[i]], "bounds": [np.array([0, 40]).tobytes()], "words": [words[0]], "codes": [words[1]]}) for i in range(100))
     lots = language_model._lots(language_model._rows(batches), lambda row: len(row[3]), 100)
     assert [len(x) for x in (next(lots), next(lots))] == [3, 3] and len(taken) == 6
