@@ -150,8 +150,9 @@ def post_filtered(results: DataFrame, least: float | None = None, root: str | No
 
 def duplicates(memories: DataFrame, candidates: DataFrame) -> DataFrame:
     """For each candidate (cand_id, kind, text) the latest active memory of its kind with the very same text: cand_id, id."""
-    hits = candidates.join(memories.where("status = 'active'").select("kind", "text", "id", "updated_at"), ["kind", "text"])
-    return hits.groupBy("cand_id").agg(F.max_by("id", F.struct("updated_at", "id")).alias("id"))
+    newest = F.max(F.struct("updated_at", "id"))
+    latest = memories.where("status = 'active'").groupBy("kind", "text").agg(newest.alias("m")).select("kind", "text", F.col("m.updated_at").alias("updated_at"), F.col("m.id").alias("id"))
+    return candidates.join(latest, ["kind", "text"]).groupBy("cand_id").agg(newest.alias("m")).select("cand_id", F.col("m.id").alias("id"))
 
 
 def with_status(memories: DataFrame, changes: DataFrame) -> DataFrame:
