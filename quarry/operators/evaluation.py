@@ -164,7 +164,7 @@ def lexical_similarity(query: Column, document: Column, relevant: Column) -> Col
 
 def best_sentence(text: Column, query: Column, limit: int = 120) -> Column:
     """The first of the sentences that share most tokens with the query, cut at a word's end."""
-    sentences = F.filter(F.transform(F.split(X.spaced(F.coalesce(text, F.lit(""))), r"(?<=[.!?])\s+"), F.trim), lambda s: s != "")
+    sentences = F.filter(F.transform(F.split(X.spaced(F.coalesce(text, F.lit(""))), r"(?<=[.!?])\s+"), lambda s: F.trim(s)), lambda s: s != "")  # F.trim itself would get the place as the characters to trim
     scored = F.transform(sentences, lambda s, i: F.struct(F.size(F.array_intersect(query, F.array_distinct(tokens(s)))).alias("n"), (-i).alias("i"), s.alias("s")))
     best = F.coalesce(F.array_max(scored)["s"], F.lit(""))
     return F.when(F.length(best) <= limit, best).otherwise(F.regexp_replace(F.substring(best, 1, limit), " [^ ]*$", ""))

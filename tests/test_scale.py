@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarry.operators import store
+from quarry.operators import evaluation, store
 
 
 def one(spark, expr):
@@ -18,3 +18,9 @@ def test_duplicates_join_one_memory_per_text(spark):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate" in plan[plan.index("Join") :]
     assert {(r.cand_id % 2, r.id) for r in found.collect()} == {(0, 9_999)} and found.count() == 5_000
+
+
+def test_best_sentence_keeps_its_digits(spark):
+    """The place of a sentence is no set of characters to trim."""
+    assert one(spark, evaluation.best_sentence(F.lit("0997 birds fly. 1 fish swims 1"), F.array(F.lit("birds")))) == "0997 birds fly."
+    assert one(spark, evaluation.best_sentence(F.lit("0997 birds fly. 1 fish swims 1"), F.array(F.lit("fish")))) == "1 fish swims 1"
