@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -151,9 +152,18 @@ def from_blob(blob: Column, element: str = "float32") -> Column:
     return F.when((F.size(octets) > 0) & (F.size(octets) % 4 == 0), F.transform(words, number))
 
 
+def _printing() -> object:
+    @F.arrow_udf(T.StringType())
+    def printed(vectors: pa.Array) -> pa.Array:
+        rows = (None if v is None else ",".join("null" if x is None else f"{x:.6f}" for x in v) for v in vectors.to_pylist())
+        return pa.array([None if r is None else f"[{r}]" for r in rows], pa.string())
+
+    return printed
+
+
 def to_json(v: Column) -> Column:
-    """A JSON array with six decimals, as numbers of a fixed form; whole numbers as they are."""
-    return F.concat(F.lit("["), F.array_join(F.transform(v, lambda x: F.format_string("%.6f", x.cast("double"))), ","), F.lit("]"))
+    """A JSON array with six decimals, as numbers of a fixed form; whole numbers as they are. Rounds the exact value, halves to even, as printf does; the JVM's format rounds halves up, and the shortest digits instead of the value."""
+    return _printing()(doubles(v))
 
 
 def whole_to_json(v: Column) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quarry.functions import vector
 from quarry.operators import evaluation, store
 
 
@@ -24,3 +25,11 @@ def test_best_sentence_keeps_its_digits(spark):
     """The place of a sentence is no set of characters to trim."""
     assert one(spark, evaluation.best_sentence(F.lit("0997 birds fly. 1 fish swims 1"), F.array(F.lit("birds")))) == "0997 birds fly."
     assert one(spark, evaluation.best_sentence(F.lit("0997 birds fly. 1 fish swims 1"), F.array(F.lit("fish")))) == "1 fish swims 1"
+
+
+def test_json_rounds_the_exact_value(spark):
+    """Halves go to even: 1/128 is 0.0078125 exactly."""
+    halves = F.array(*map(F.lit, (1 / 128, 3 / 128, -1 / 128, 0.5, 2.0**70))).cast("array<float>")
+    assert one(spark, vector.to_json(halves)) == "[0.007812,0.023438,-0.007812,0.500000,1180591620717411303424.000000]"
+    assert one(spark, vector.to_json(F.array(F.lit(1.0), F.lit(None).cast("double")))) == "[1.000000,null]"
+    assert one(spark, vector.to_json(F.lit(None).cast("array<float>"))) is None
