@@ -3,16 +3,16 @@
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import words
+
 
 def doubles(v: Column) -> Column:
     return v.cast("array<double>")
@@ -91,20 +91,16 @@ def max_similarity(query: Column, document: Column) -> Column:
 
 
 def _embedding() -> object:
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def embed(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        known: dict[str, int] = {}  # the first byte of a word's SHA-256
+    @F.arrow_udf(T.ArrayType(T.DoubleType()))
+    def embed(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for texts, dims in batches:
-            out = []
-            for text, dim in zip(texts, dims):
-                found = re.findall(r"[^\W_]+", (text or "").lower())
-                for w in found:
-                    if w not in known:
-                        known[w] = hashlib.sha256(w.encode()).digest()[0]
-                out.append(np.bincount(np.fromiter((known[w] for w in found), np.int64, len(found)) % dim, minlength=dim).astype(float))
-            if len(known) > 500_000:
-                known.clear()
-            yield pd.Series(out)
+            dim, out = dims[0].as_py() if len(dims) else 1, []
+            for part in words.pieces(texts):
+                row, code, distinct = words.split(texts[part])
+                bucket = np.fromiter((hashlib.sha256(w.encode()).digest()[0] % dim for w in distinct.to_pylist()), np.int64, len(distinct))
+                out.append(np.bincount(row * dim + bucket[code], minlength=(part.stop - part.start) * dim).astype(float))
+            counts = np.concatenate(out) if out else np.empty(0)
+            yield pa.ListArray.from_arrays(pa.array(np.arange(0, len(counts) + 1, dim), pa.int32()), pa.array(counts))
 
     return embed
 

@@ -95,8 +95,8 @@ def query_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_bm25_cte()}, r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(rs, 9) DESC, chunk_id) AS rank FROM ok WHERE m = 'r') SELECT qid, chunk_id, round(rs, 6) AS rank_score, round(score, 6) AS score, rank FROM r WHERE rank <= 20")
 def bm25_top20(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = lexical.bm25(lexical.index(_chunks(spark, sf_dir)), _benchmark(spark, sf_dir), X.relaxed_terms(F.col("text")), need_all=False)
-    return lexical.ranked(hits, 20, "rank_score").select("qid", "chunk_id", F.round("rank_score", 6).alias("rank_score"), F.round("score", 6).alias("score"), "rank")
+    hits = lexical.bm25(lexical.index(_chunks(spark, sf_dir)), _benchmark(spark, sf_dir), X.relaxed_terms(F.col("text")), need_all=False, limit=20)
+    return hits.select("qid", "chunk_id", F.round("rank_score", 6).alias("rank_score"), F.round("score", 6).alias("score"), "rank")
 
 
 @query(f"WITH {_merged_cte(20, 1.2, 20)} SELECT qid, chunk_id, round(score, 6) AS score, rank FROM sr WHERE rank <= 20")

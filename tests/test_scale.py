@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.functions import vector
-from quarry.operators import evaluation, store, vectors
+from quarry.functions import text as X
+from quarry.functions import vector, words
+from quarry.operators import evaluation, lexical, store, vectors
 
 
 def one(spark, expr):
@@ -66,3 +68,44 @@ def test_nearest_beyond_single_precision():
         kept = vectors.Best(1, 3)
         vectors._search(np.array([0]), c[150:151], kept, np.arange(len(c)), c, 3, metric)
         assert kept.ids.tolist() == [[150, 149, 151]] or sorted(kept.ids[0]) == [149, 150, 151]
+
+
+TEXTS = ["alpha beta beta 7x", "alphabet Alpha, gamma", "", None, "delta alpha-beta", "gamma delta alpha", "nothing here", "BETA beta alpha 7"]
+
+
+def _chunks(spark):
+    return spark.createDataFrame(list(enumerate(TEXTS)), "chunk_id long, content string").repartition(3)
+
+
+def _queries(spark):
+    return spark.createDataFrame([(1, "alpha beta"), (2, "gamma 7"), (3, "of the"), (4, "zeta"), (5, "")], "qid long, text string")
+
+
+def test_words_in_arrow_are_those_of_expressions(spark):
+    """Also those of a piece that ends within a batch."""
+    texts = [*TEXTS, "Straße ÉTÉ x_y 12,5 ٣ Ⅷ ... ?", "  "]
+    want = [r.w for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(X.words(F.col("t")).alias("w")).collect()]
+    row, code, distinct = words.split(pa.array(texts))
+    assert [[distinct[c].as_py() for c, r in zip(code, row) if r == i] for i in range(len(texts))] == want
+    assert [(p.start, p.stop) for p in words.pieces(pa.array(["x" * words.PIECE, None, "y", "z" * words.PIECE]))] == [(0, 2), (2, 3), (3, 4)]
+
+
+def test_texts_are_scored_where_they_are_read(spark, monkeypatch):
+    """No posting is shuffled; written postings and several lots of queries give the same rows."""
+    index = lexical.index(_chunks(spark))
+    found = lexical.search(index, _queries(spark), 3)
+    assert "postings" not in found.columns and "term" not in found._jdf.queryExecution().optimizedPlan().toString()
+    key = lambda df: sorted((r.qid, r["rank"], r.chunk_id, round(r.score, 9)) for r in df.collect())
+    assert key(found) and key(found) == key(lexical.search(lexical.Index(index.postings, index.lengths), _queries(spark), 3))
+    monkeypatch.setattr(lexical, "LISTS", 2)
+    assert key(found) == key(lexical.search(index, _queries(spark), 3))
+    all_ = lexical.bm25(index, _queries(spark), X.relaxed_terms(F.col("text")), need_all=False)
+    assert {(r.qid, r.chunk_id) for r in all_.collect()} == {(1, 0), (1, 1), (1, 4), (1, 5), (1, 7), (2, 0), (2, 1), (2, 5), (2, 7)}
+
+
+def test_copies_go_by_their_number(spark):
+    """Copies have the very same score in the second BM25, in whatever order their words come together; scores this large have no ninth digit to hide noise."""
+    text = " ".join(f"word{i} " * (i % 7 + 1) for i in range(40))
+    chunks = spark.createDataFrame([(i, text if i % 50 == 0 else f"other{i} text") for i in range(2000)], "chunk_id long, content string").repartition(16)
+    found = lexical.miner(chunks, spark.createDataFrame([(1, text)], "qid long, text string"), 20).collect()
+    assert [r.chunk_id for r in sorted(found, key=lambda r: r["rank"])] == [50 * i for i in range(20)] and len({r.score for r in found}) == 1
