@@ -63,7 +63,7 @@ def branches(queries: DataFrame, options: Options, prompt: Callable[[str], str]
     return queries.select(F.col("qid").cast("long").alias("qid"), "text").mapInPandas(plan, BRANCHES)
 
 
-def _cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame) -> DataFrame:
     """df, written to the folder in spark.checkpoint.dir (a temporary one only if none is set, as in tests): what follows is planned and run without what came before."""
     context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
@@ -94,17 +94,17 @@ def search(chunks: DataFrame, queries: DataFrame, options: Options, now: str, in
     """
     index = index or lexical.index(chunks)
     embedded = chunks.select(F.col("chunk_id").alias("vec_id"), embed(F.col("content")).alias("embedding")) if embedded is None else embedded
-    wanted = _cut(branches(queries, options))  # a few rows of each query, read by every lookup
+    wanted = cut(branches(queries, options))  # a few rows of each query, read by every lookup
     first = wanted.where("branch = 0")
     bid = (F.col("qid") * 16 + F.col("branch")).alias("qid")
     of = lambda hits: hits.withColumn("branch", (F.col("qid") % 16).cast("int")).withColumn("qid", F.expr("qid div 16")).join(wanted.select("qid", "branch", "kind", "weight", "text", "query"), ["qid", "branch"])
     lists: list[DataFrame] = []
     hits_of = lambda h: h.select("qid", "chunk_id", "rank", "weight")
-    found = _cut(of(lexical.search(index, wanted.where("kind NOT IN ('semantic', 'hypothetical_document')").select(bid, "text"), options.lexical))) if options.lexical else None
+    found = cut(of(lexical.search(index, wanted.where("kind NOT IN ('semantic', 'hypothetical_document')").select(bid, "text"), options.lexical))) if options.lexical else None
     near = None
     if options.semantic:
         asked = wanted.where("kind <> 'lexical'").select(bid, embed(F.col("text")).alias("embedding"))
-        near = _cut(of(vectors.knn(embedded, asked, options.semantic).select("qid", F.col("vec_id").alias("chunk_id"), "rank")))
+        near = cut(of(vectors.knn(embedded, asked, options.semantic).select("qid", F.col("vec_id").alias("chunk_id"), "rank")))
     if found is not None:
         lists.append(hits_of(found))
         names = first.select("qid", F.posexplode("entities").alias("i", "text"))
@@ -134,7 +134,7 @@ def search(chunks: DataFrame, queries: DataFrame, options: Options, now: str, in
         one = scores.select("qid", "chunk_id", F.lit(name).alias("signal"), "score")
         rows = one if rows is None else rows.unionByName(one)
     rows = rows.groupBy("qid", "chunk_id").pivot("signal", list(signals)).agg(F.sum("score")).where("semantic IS NOT NULL OR lexical IS NOT NULL")
-    rows = _cut(rows)
+    rows = cut(rows)
     rows = rows.join(first.select("qid", "query", "intent", "statuses", "entities", "topics", "facets", "key_terms"), "qid")
     pool = planner.pool_limit(options.search_limit, options.rerank)
     hydrated = fusion.hydration_limit(options.search_limit, options.rerank, pool)
@@ -154,7 +154,7 @@ def search(chunks: DataFrame, queries: DataFrame, options: Options, now: str, in
     ranked = fusion.by_rank(fusion.fused(rows, now), "fused", pool)
     score = rerank(F.col("query"), F.col("title"), F.col("content")) if rerank and options.rerank else F.lit(None).cast("double")
     ranked = fusion.blended(ranked.withColumn("rerank", F.when(F.col("rank") <= options.rerank, score)), options.rerank)
-    ranked = _cut(ranked)
+    ranked = cut(ranked)
     # order
     limit = options.search_limit
     if options.expansion:

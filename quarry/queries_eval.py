@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from quarry.functions import text as X
 from quarry.operators import lexical, suites
+from quarry.plans.search import cut
 from quarry.queries import _LEX, ORACLE_SQL, _benchmark, _chunks, _embedded_cte, _lexical_hits, _semantic, query, table, words_sql
 from quarry.queries_store import _KEY
 
@@ -96,9 +97,11 @@ og AS (SELECT qid, min(rank) <= 5 AS hit, min(rank) AS best, count_if(rank <= 5)
 def _diagnosis(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Hits by branch, relevant documents, and the original results of each query."""
     docs, items = table(spark, sf_dir, "documents"), _benchmark(spark, sf_dir)
-    relevant = lexical.containing(docs, items.withColumnRenamed("qid", "phrase_id")).withColumnRenamed("phrase_id", "qid")
+    # each a few rows of a query, made once by reading all texts and used many times
+    relevant = cut(lexical.containing(docs, items.withColumnRenamed("qid", "phrase_id")).withColumnRenamed("phrase_id", "qid"))
     lex = _lexical_hits(spark, sf_dir).select("qid", F.col("chunk_id").alias("doc_id"), F.col("rank").cast("long").alias("rank"))
     sem = _semantic(spark, sf_dir).select("qid", F.col("chunk_id").alias("doc_id"), F.col("rank").cast("long").alias("rank"))
+    lex, sem = cut(lex), cut(sem)
     name = lambda rows, n: rows.select(F.lit(n).alias("branch"), "qid", "doc_id", "rank")
     hits = name(lex, "lexical_wide").unionByName(name(sem, "semantic_wide")).unionByName(name(lex.where("qid % 3 <> 0").withColumn("rank", F.col("rank") + F.col("doc_id") % 7), "current_wide")).unionByName(name(lex.where("qid % 4 = 0"), "no_expansion_wide"))
     n = relevant.groupBy("qid").agg(F.count("*").alias("n_relevant"))
@@ -150,7 +153,7 @@ def rescue_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("WITH m AS (" + ORACLE_SQL["bm25_miner"] + "), rel AS (SELECT DISTINCT item_id AS qid, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)), h AS (SELECT qid, list(chunk_id ORDER BY rank) AS h FROM m WHERE rank <= 8 AND NOT EXISTS (SELECT 1 FROM rel WHERE rel.qid = m.qid AND rel.doc_id = m.chunk_id) GROUP BY qid) SELECT qid, doc_id AS positive, coalesce(array_to_string(h, ','), '') AS hard_negatives FROM rel LEFT JOIN h USING (qid)")
 def training_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = _benchmark(spark, sf_dir)
-    relevant = lexical.containing(table(spark, sf_dir, "documents"), items.withColumnRenamed("qid", "phrase_id")).withColumnRenamed("phrase_id", "qid")
+    relevant = cut(lexical.containing(table(spark, sf_dir, "documents"), items.withColumnRenamed("qid", "phrase_id")).withColumnRenamed("phrase_id", "qid"))
     found = suites.training_examples(lexical.miner(_chunks(spark, sf_dir), items, 20), relevant)
     return found.withColumn("hard_negatives", F.array_join(F.col("hard_negatives").cast("array<string>"), ","))
 

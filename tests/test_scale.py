@@ -109,3 +109,11 @@ def test_copies_go_by_their_number(spark):
     chunks = spark.createDataFrame([(i, text if i % 50 == 0 else f"other{i} text") for i in range(2000)], "chunk_id long, content string").repartition(16)
     found = lexical.miner(chunks, spark.createDataFrame([(1, text)], "qid long, text string"), 20).collect()
     assert [r.chunk_id for r in sorted(found, key=lambda r: r["rank"])] == [50 * i for i in range(20)] and len({r.score for r in found}) == 1
+
+
+def test_diagnosis_reads_the_texts_once(spark):
+    """Hits and relevant documents are made once, not again in each of their uses."""
+    from quarry import queries_eval
+
+    for rows in queries_eval._diagnosis(spark, "/root/testdata/sf0.001"):
+        assert "MapInArrow" not in rows._jdf.queryExecution().optimizedPlan().toString()
