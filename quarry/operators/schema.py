@@ -270,9 +270,15 @@ def normalized_tags(tags: DataFrame, most: int) -> DataFrame:
 
 def merged_values(left: Column, right: Column) -> Column:
     """The values of both arrays in order, each once by comparison key, without empty ones; null if neither array is there."""
-    both = F.filter(F.concat(F.coalesce(left, F.array().cast("array<string>")), F.coalesce(right, F.array().cast("array<string>"))), lambda v: X.comparison_key(v) != "")
-    keys = F.transform(both, X.comparison_key)
-    return F.when(left.isNotNull() | right.isNotNull(), F.filter(both, lambda v, i: F.array_position(keys, X.comparison_key(v)) == i + 1))
+    both = F.concat(F.coalesce(left, F.array().cast("array<string>")), F.coalesce(right, F.array().cast("array<string>")))
+    keyed = F.filter(F.transform(both, lambda v: F.struct(v.alias("v"), X.comparison_key(v).alias("k"))), lambda x: x["v"].isNotNull() & (x["k"] != ""))
+
+    def merged(x: Column) -> Column:
+        keys = F.transform(x, lambda p: p["k"])
+        return F.transform(F.filter(x, lambda p, i: F.array_position(keys, p["k"]) == i + 1), lambda p: p["v"])
+
+    # in a lambda, so that values and keys are made once for a row
+    return F.when(left.isNotNull() | right.isNotNull(), F.get(F.transform(F.array(keyed), merged), F.lit(0)))
 
 
 def tag_confidence(rank: Column, relevance: Column, previous: Column) -> Column:

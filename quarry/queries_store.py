@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -89,10 +89,14 @@ def post_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(rf"WITH v AS (SELECT doc_id, list_concat({words_sql('text')}[1:4], [upper(lang), '?', {words_sql('text')}[2], {words_sql('text')}[1] || ' !', source]) AS v FROM documents WHERE doc_id % 7 <> 3), f AS (SELECT doc_id, list_filter(v, lambda x: x IS NOT NULL AND {_KEY('x')} <> '') AS f FROM v), k AS (SELECT doc_id, f, list_transform(f, lambda x: {_KEY('x')}) AS k FROM f) SELECT doc_id, array_to_string(list_filter(f, lambda x, i: list_position(k, {_KEY('x')}) = i), '|') AS merged FROM k UNION ALL SELECT doc_id, NULL FROM documents WHERE doc_id % 7 = 3")
 def merged_filter_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = X.words(F.col("text"))
-    left, right = F.slice(w, 1, 4), F.filter(F.array(F.upper("lang"), F.lit("?"), F.get(w, F.lit(1)), F.concat(F.get(w, F.lit(0)), F.lit(" !")), F.col("source")), lambda x: x.isNotNull())
     some = F.col("doc_id") % 7 != 3
-    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(schema.merged_values(F.when(some, left), F.when(some, right)), "|").alias("merged"))
+
+    def merged(w: Column) -> Column:
+        right = F.filter(F.array(F.upper("lang"), F.lit("?"), F.get(w, F.lit(1)), F.concat(F.get(w, F.lit(0)), F.lit(" !")), F.col("source")), lambda x: x.isNotNull())
+        return F.array_join(schema.merged_values(F.when(some, F.slice(w, 1, 4)), F.when(some, right)), "|")
+
+    # in a lambda, so that a text is split once
+    return table(spark, sf_dir, "documents").select("doc_id", F.get(F.transform(F.array(X.words(F.col("text"))), merged), F.lit(0)).alias("merged"))
 
 
 @query(f"WITH m AS (SELECT *, kind || (id % 50) AS text FROM ({_MEM})), c AS (SELECT doc_id AS cand_id, CASE WHEN doc_id % 2 = 0 THEN 'fact' ELSE 'episode' END AS kind, CASE WHEN doc_id % 2 = 0 THEN 'fact' ELSE 'episode' END || (doc_id % 60) AS text FROM documents) SELECT cand_id, arg_max(id, (created_at, id)) AS id FROM c JOIN m USING (kind, text) WHERE status = 'active' GROUP BY cand_id")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import text as X
 from quarry.functions import vector, words
-from quarry.operators import evaluation, lexical, store, vectors
+from quarry.operators import evaluation, lexical, schema, store, vectors
 
 
 def one(spark, expr):
@@ -117,3 +117,12 @@ def test_diagnosis_reads_the_texts_once(spark):
 
     for rows in queries_eval._diagnosis(spark, "/root/testdata/sf0.001"):
         assert "MapInArrow" not in rows._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_merged_values_split_each_value_once(spark):
+    from quarry.queries_store import merged_filter_values
+
+    plan = merged_filter_values(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 2  # the text's and each value's
+    null = F.lit(None).cast("array<string>")
+    assert one(spark, F.to_json(F.array(schema.merged_values(F.array(F.lit("A"), F.lit("?"), F.lit(None).cast("string")), F.array(F.lit("a!"), F.lit("b"))), schema.merged_values(null, F.array(F.lit("-"))), schema.merged_values(null, null)))) == '[["A","b"],[],null]'
