@@ -111,9 +111,13 @@ def search(chunks: DataFrame, queries: DataFrame, options: Options, now: str, in
         entity = lexical.search(index, names.select((F.col("qid") * 16 + F.col("i")).alias("qid"), "text"), max(1, options.lexical // 2))
         lists.append(hits_of(entity.withColumn("qid", F.expr("qid div 16")).withColumn("weight", F.lit(0.5))))
         if options.tags:
-            for column, kind, weight in (("entities", "entity", 0.60), ("topics", "topic", 0.35), ("facets", "facet", 0.25)):
-                tagged = first.select("qid", F.explode(column).alias("n")).select("qid", F.concat(F.lit(kind + ":"), "n").alias("name"))
-                lists.append(hits_of(tag_hits(chunks, tagged, max(8, options.lexical // 2)).withColumn("weight", F.lit(weight))))
+            kinds = (("entities", "entity", 0.60), ("topics", "topic", 0.35), ("facets", "facet", 0.25))
+            named = lambda i, kind: lambda n: F.struct(F.lit(i).alias("kind"), F.concat(F.lit(kind + ":"), n).alias("name"))
+            names = F.flatten(F.array(*(F.transform(F.coalesce(column, F.array().cast("array<string>")), named(i, kind)) for i, (column, kind, _) in enumerate(kinds))))
+            tagged = first.select("qid", F.explode(names).alias("n")).select((F.col("qid") * 4 + F.col("n.kind")).alias("qid"), "n.name")
+            weight = F.element_at(F.array(*(F.lit(w) for _, _, w in kinds)), (F.col("qid") % 4 + 1).cast("int"))
+            # the tags are made of all texts, once for the three kinds
+            lists.append(hits_of(tag_hits(chunks, tagged, max(8, options.lexical // 2)).withColumn("weight", weight).withColumn("qid", F.expr("qid div 4"))))
         strong = fusion.strong_signal(found.where("branch = 0"), F.size(X.tokens(F.col("text")))).select("qid", "strong")
         counts = wanted.join(found.groupBy("qid", "branch").agg(F.count("*").alias("hits")), ["qid", "branch"], "left").join(strong, "qid", "left").na.fill({"hits": 0, "strong": False})
         open_ = fusion.document_branches(counts, options.lexical, options.search_limit)

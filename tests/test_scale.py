@@ -126,3 +126,23 @@ def test_merged_values_split_each_value_once(spark):
     assert plan.count("split(") == 2  # the text's and each value's
     null = F.lit(None).cast("array<string>")
     assert one(spark, F.to_json(F.array(schema.merged_values(F.array(F.lit("A"), F.lit("?"), F.lit(None).cast("string")), F.array(F.lit("a!"), F.lit("b"))), schema.merged_values(null, F.array(F.lit("-"))), schema.merged_values(null, null)))) == '[["A","b"],[],null]'
+
+
+def test_tags_are_made_once_for_all_kinds(spark, monkeypatch):
+    """And each kind keeps its own weight and its own limit."""
+    from quarry.plans import search
+    from quarry.queries_search import memory_search
+
+    calls = []
+    monkeypatch.setattr(search, "tag_hits", lambda chunks, names, limit, of=search.tag_hits: calls.append((names.columns, limit)) or of(chunks, names, limit))
+    assert memory_search(spark, "/root/testdata/sf0.001").select("qid").distinct().count() > 0
+    assert calls == [(["qid", "name"], 50)]
+
+
+def test_anchors_of_chunks_by_word(spark):
+    """A word that an anchor begins, or that begins an anchor, as in anchor_matches(); the words of a chunk are not joined with those of the corpus."""
+    chunks = spark.createDataFrame([(1, "t", "ranking by retr"), (2, None, "nothing"), (3, "rank", "zzz")], "chunk_id long, title string, content string")
+    hits = spark.createDataFrame([(7, 1), (7, 2), (7, 3), (8, 1)], "qid long, chunk_id long")
+    wanted = spark.createDataFrame([(7, ["rank", "retrieval", "zz"]), (8, ["none"])], "qid long, anchors array<string>")
+    got = {(r.qid, r.chunk_id): sorted(r.hit) for r in lexical._anchored(hits, wanted, chunks).collect()}
+    assert got == {(7, 1): ["rank", "retrieval"], (7, 3): ["rank", "zz"]}
